@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeloom.llm import neighbours, pieces, tokens
+from lakeloom.llm import neighbours, pieces, secrets, tokens
 from lakeloom.sources.tables import table
 
 
@@ -21,6 +21,14 @@ def p1_found(spark, sf_dir):
     return p1_pieces(spark, sf_dir).where("piece_no = 1 and n_pieces > 1").select("source_table", "id")
 
 
+def p2_found(spark, sf_dir):
+    return secrets.found(table(spark, sf_dir, "chunks")).select("id", "line_no").distinct()
+
+
+def p2_redacted(spark, sf_dir):
+    return secrets.redacted(table(spark, sf_dir, "chunks"))
+
+
 def _vector_fields(spark, sf_dir):
     chunks, notes = table(spark, sf_dir, "chunks"), table(spark, sf_dir, "notes")
     return {
@@ -40,7 +48,7 @@ def p8_ids(spark, sf_dir):
     return tokens.encode(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p8_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_redacted, p4_found, p8_ids)}
 
 SQL: dict[str, str] = {
     "p1_found": """
