@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeloom.llm import neighbours, pieces, secrets, tokens
+from lakeloom.llm import neighbours, pieces, provenance, secrets, tokens
 from lakeloom.sources.tables import table
 
 
@@ -44,11 +44,21 @@ def p4_found(spark, sf_dir):
     return neighbours.mutual(neighbours.neighbours(spark, _vector_fields(spark, sf_dir), s))
 
 
+def p7_found(spark, sf_dir):
+    return provenance.found(spark, table(spark, sf_dir, "chunks")).select("repo_name", "module_path")
+
+
+def p7_kinds(spark, sf_dir):
+    """How many files are of each kind, per repository."""
+    kinds = provenance.classify(spark, table(spark, sf_dir, "chunks"))
+    return kinds.groupBy("repo_name", F.coalesce("kind", F.lit("hand_written")).alias("kind")).agg(F.count(F.lit(1)).alias("n_files"))
+
+
 def p8_ids(spark, sf_dir):
     return tokens.encode(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_redacted, p4_found, p8_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_redacted, p4_found, p7_found, p7_kinds, p8_ids)}
 
 SQL: dict[str, str] = {
     "p1_found": """
