@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeloom.llm import neighbours, pieces, provenance, secrets, tokens
+from lakeloom.llm import mixing, neighbours, pieces, provenance, residue, secrets, tokens
 from lakeloom.sources.tables import table
 
 
@@ -58,7 +58,23 @@ def p8_ids(spark, sf_dir):
     return tokens.encode(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_redacted, p4_found, p7_found, p7_kinds, p8_ids)}
+def p9_mix(spark, sf_dir):
+    return mixing.mix(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_report(spark, sf_dir):
+    return mixing.mix(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p10_found(spark, sf_dir):
+    return residue.scored(spark, table(spark, sf_dir, "documents")).where("residue").select("doc_id")
+
+
+def p10_scores(spark, sf_dir):
+    return residue.scored(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_redacted, p4_found, p7_found, p7_kinds, p8_ids, p9_mix, p9_report, p10_found, p10_scores)}
 
 SQL: dict[str, str] = {
     "p1_found": """
