@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeloom.llm import mixing, neighbours, pieces, provenance, residue, secrets, tokens
+from lakeloom.llm import docpairs, mixing, neighbours, pieces, provenance, residue, secrets, tokens
 from lakeloom.sources.tables import table
 
 
@@ -44,6 +44,14 @@ def p4_found(spark, sf_dir):
     return neighbours.mutual(neighbours.neighbours(spark, _vector_fields(spark, sf_dir), s))
 
 
+def p6_found(spark, sf_dir):
+    return docpairs.found(table(spark, sf_dir, "chunks"))
+
+
+def p6_pairs(spark, sf_dir):
+    return docpairs.pairs(table(spark, sf_dir, "chunks"))
+
+
 def p7_found(spark, sf_dir):
     return provenance.found(spark, table(spark, sf_dir, "chunks")).select("repo_name", "module_path")
 
@@ -74,7 +82,7 @@ def p10_scores(spark, sf_dir):
     return residue.scored(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_redacted, p4_found, p7_found, p7_kinds, p8_ids, p9_mix, p9_report, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_redacted, p4_found, p6_found, p6_pairs, p7_found, p7_kinds, p8_ids, p9_mix, p9_report, p10_found, p10_scores)}
 
 SQL: dict[str, str] = {
     "p1_found": """
