@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lakeloom.plans import general
+from lakeloom.plans import general, lookups
 
-MODULES = [general]
+MODULES = [general, lookups]
 
 
 def queries() -> dict:

@@ -32,7 +32,8 @@ def unique_rows(df: DataFrame, key: str, columns: list[str], latest: str | None
     rest = [c for c in columns if c != key]
     df = df.where(F.col(key).isNotNull())
     row = F.struct(*rest)
-    pick = F.max_by(row, F.col(latest)) if latest else F.first(row)
+    # In a struct a missing time is the oldest; alone it would lose its row.
+    pick = F.max_by(row, F.struct(latest)) if latest else F.first(row)
     return df.groupBy(key).agg(pick.alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
