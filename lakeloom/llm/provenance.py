@@ -38,8 +38,8 @@ PLACES, PLAIN = 192, 96
 BANDS, KIN_BANDS = 32, 24
 #: Shingles that a text needs for a cluster over repositories to mean anything.
 LEAST_SHINGLES = 24
-#: Rounds of giving new centres to the rest of the buckets.
-MAX_ROUNDS = 200
+#: Rounds in which the centres of a bucket's blocks meet.
+MAX_ROUNDS = 60
 
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|[^\s\w]")
 #: Words of programming languages that stay as they are (fixed values).
@@ -78,20 +78,38 @@ DOCUMENT = re.compile(r"(?i)\.(?:md|rst|txt|adoc|markdown|html?)$")
 _COMMENT_HEAD = re.compile(r"^(?:\s*(?:#(?!include|define|!|\[)|//|/\*|\*|--|;|<!--|\"\"\"|'''|%).*\n?|\s*#!.*\n|\s*\n|\s*(?:<\?xml|<\?php|'use strict'|\"use strict\").*\n?)+")
 
 
-def mask(text: str) -> list[str]:
-    """Code tokens of a text with identifiers as I, numbers as N and strings as S."""
-    out = []
-    for t in _TOKEN.findall(text):
-        c = t[0]
-        if c.isalpha() or c in "_$":
-            out.append(t if t.lower() in KEYWORDS else "I")
-        elif c.isdigit():
-            out.append("N")
-        elif c in "\"'`" and len(t) > 1:
-            out.append("S")
-        else:
-            out.append(t)
-    return out
+#: Codes of the masked classes; keywords and signs have codes of their own above them.
+NAME, NUMBER, STRING = 1, 2, 3
+_CODES: dict[str, int] = {}
+
+
+def _code(t: str) -> int:
+    c = t[0]
+    if c.isalpha() or c in "_$":
+        code = zlib.crc32(t.encode()) | 1 << 40 if t.lower() in KEYWORDS else NAME
+    elif c.isdigit():
+        code = NUMBER
+    elif c in "\"'`" and len(t) > 1:
+        code = STRING
+    else:
+        code = zlib.crc32(t.encode()) | 1 << 41
+    if len(_CODES) > 500_000:
+        _CODES.clear()
+    if len(t) < 40:
+        _CODES[t] = code
+    return code
+
+
+def mask(text: str) -> np.ndarray:
+    """Codes of the code tokens of a text; identifiers, numbers and strings have one code each."""
+    known = _CODES
+    return np.array([known.get(t) or _code(t) for t in _TOKEN.findall(text)], dtype=np.uint64)
+
+
+#: Keywords that declare data without computing (fixed values).
+_DATA_WORDS = frozenset("const static char int unsigned export default null true false byte long float double string new var let public private final module package class".split())
+_LOGIC = np.array(sorted(zlib.crc32(k.encode()) | 1 << 40 for k in KEYWORDS - _DATA_WORDS), dtype=np.uint64)
+_SIGNS = np.array(sorted(zlib.crc32(k.encode()) | 1 << 41 for k in "{}[](),;:="), dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -99,20 +117,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(tokens: list[str], words: int = WORDS) -> np.ndarray:
-    """Distinct hashes of all runs of ``words`` tokens; a shorter text is one run."""
-    if not tokens:
+def shingles(codes: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Distinct hashes of all runs of ``words`` token codes; a shorter text is one run."""
+    if not len(codes):
         return np.array([], dtype=np.uint64)
-    table: dict[str, int] = {}
-    h = np.array([table.setdefault(t, zlib.crc32(t.encode()) + 1) for t in tokens], dtype=np.uint64)
-    n = max(1, len(h) - words + 1)
+    n = max(1, len(codes) - words + 1)
     run = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(min(words, len(h))):
-            run = _mix(run * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
+        for k in range(min(words, len(codes))):
+            run = _mix(run * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n])
     return np.unique(run)
 
 
+def plain_codes(text: str) -> np.ndarray:
+    """Codes of the blank-separated words as they stand."""
+    return np.array([zlib.crc32(t) for t in text.encode().split()], dtype=np.uint64)
+
+
 def signature(sh: np.ndarray, places: int) -> np.ndarray:
     """One-permutation MinHash with ``places`` places; empty ones borrow from the next filled one.
 
@@ -126,9 +147,10 @@ def signature(sh: np.ndarray, places: int) -> np.ndarray:
         h = np.sort(_mix(sh * np.uint64(0x9E3779B97F4A7C15)))[::-1]
         sig[(h % np.uint64(places)).astype(np.int64)] = h  # the smallest is written last
         filled = np.flatnonzero(sig != full)
-        for i in np.flatnonzero(sig == full):
-            j = filled[np.searchsorted(filled, i) % len(filled)]
-            sig[i] = _mix(sig[j : j + 1] + np.uint64((j - i) % places) * np.uint64(0xC2B2AE3D27D4EB4F))[0]
+        gaps = np.flatnonzero(sig == full)
+        donors = filled[np.searchsorted(filled, gaps) % len(filled)]
+        away = ((donors - gaps) % places).astype(np.uint64)
+        sig[gaps] = _mix(sig[donors] + away * np.uint64(0xC2B2AE3D27D4EB4F))
     return sig
 
 
@@ -140,7 +162,7 @@ def band_hashes(sig: np.ndarray, plain: np.ndarray, repo: str) -> list[int]:
     return over + [zlib.crc32(own + sig[i * k : i * k + k].tobytes()) | ((BANDS + i) << 32) for i in range(KIN_BANDS)]
 
 
-def marks(path: str, text: str, masked: list[str]) -> dict[str, bool]:
+def marks(path: str, text: str, masked: np.ndarray) -> dict[str, bool]:
     """What a file says of itself."""
     head = _COMMENT_HEAD.match(text)
     notice = False
@@ -148,19 +170,17 @@ def marks(path: str, text: str, masked: list[str]) -> dict[str, bool]:
         for line in head.group().split("\n")[:60]:
             if NOTICE.search(line) and not ABOUT_NOTICE.search(line):
                 notice = True
-    lines = text.split("\n")
-    longest = max(map(len, lines))
+    longest = max(map(len, text.split("\n")))
     body = re.sub(r"(?s)^\s*/\*.*?\*/", "", text, count=1).strip()
-    blank = sum(c in " \t\n\r" for c in body) / max(1, len(body))
-    names = [t for t in masked if t == "I"]
+    blank = (body.count(" ") + body.count("\t") + body.count("\n") + body.count("\r")) / max(1, len(body))
     dense = longest > 400 and len(body) / max(1, body.count("\n") + 1) > 200 and blank < 0.12
-    literal = sum(t in ("N", "S") for t in masked)
-    other = sum(t not in ("N", "S") and t.isalnum() for t in masked)
-    signs = sum(t in "{}[](),;:=" for t in masked)
-    blob = len(text) > 400 and other <= 8 + 0.02 * len(masked) and (literal >= 20 or longest > 400)
+    n, names = len(masked), int((masked == NAME).sum())
+    literal = int(((masked == NUMBER) | (masked == STRING)).sum())
+    words = names + int(((masked >> np.uint64(40)) == 1).sum())
+    blob = len(text) > 400 and words <= 8 + 0.02 * n and (literal >= 20 or longest > 400)
     if not blob and len(text) > 800:  # literals with the names of their fields, within one string or list
-        logic = sum(t in KEYWORDS and t not in ("const", "static", "char", "int", "unsigned", "export", "default", "null", "true", "false", "byte", "long", "float", "double", "string", "new", "var", "let", "public", "private", "final", "module", "package", "class") for t in masked)
-        blob = logic == 0 and literal + signs > 0.8 * max(1, len(masked)) and len(names) <= 0.25 * len(masked)
+        signs = int(np.isin(masked, _SIGNS).sum())
+        blob = not np.isin(masked, _LOGIC).any() and literal + signs > 0.8 * max(1, n) and names <= 0.25 * n
     package = PACKAGE_DIR.search(path)
     vendored = bool(STRONG_DIR.search(path)) or bool(package and VERSION.search(package.group(1)))
     library = bool(head and LIBRARY.match(head.group()))
@@ -173,7 +193,7 @@ def marks(path: str, text: str, masked: list[str]) -> dict[str, bool]:
 
 
 MARKS = ("notice", "tool_path", "lock", "minified", "blob", "vendored", "library", "document")
-FEATURES = "repo_name string, module_path string, key string, n_shingles int, raw_hash long, sig binary, raw binary, bands array<long>, " + ", ".join(f"{m} boolean" for m in MARKS)
+FEATURES = "repo_name string, module_path string, key string, n_shingles int, sig binary, bands array<long>, " + ", ".join(f"{m} boolean" for m in MARKS)
 
 
 def files(chunks: DataFrame) -> DataFrame:
@@ -203,61 +223,79 @@ def features(rows: DataFrame) -> DataFrame:
                 masked = mask(text)
                 sh = shingles(masked)
                 sig = signature(sh, PLACES)
-                raw = signature(shingles(text.split()), PLAIN)
-                bands = band_hashes(sig, raw, repo) if len(sh) >= LEAST_SHINGLES else []
+                big = len(sh) >= LEAST_SHINGLES
+                raw = signature(shingles(plain_codes(text)), PLAIN) if big else sig[:PLAIN]
+                bands = band_hashes(sig, raw, repo) if big else []
                 values = marks(path, text, masked) | {
-                    "repo_name": repo, "module_path": path, "key": f"{repo}\x00{path}", "n_shingles": len(sh), "raw_hash": zlib.crc32(text.encode()),
-                    "sig": sig.tobytes(), "raw": raw.tobytes(), "bands": bands,
+                    "repo_name": repo, "module_path": path, "key": f"{repo}\x00{path}", "n_shingles": len(sh),
+                    "sig": np.concatenate([sig, raw]).astype(np.uint8).tobytes(), "bands": bands,
                 }
                 for k, v in cols.items():
                     v.append(values[k])
-            kinds = {"n_shingles": pa.int32(), "raw_hash": pa.int64(), "sig": pa.binary(), "raw": pa.binary(), "bands": pa.list_(pa.int64())}
+            kinds = {"n_shingles": pa.int32(), "sig": pa.binary(), "bands": pa.list_(pa.int64())}
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.bool_() if k in MARKS else pa.string())) for k, v in cols.items()], list(cols))
 
     return rows.mapInArrow(run, FEATURES)
 
 
-def _agree(pairs: DataFrame) -> DataFrame:
-    """Shares of equal places of two signatures, of the masked and of the plain text."""
+#: Files of one block of a bucket.
+BLOCK = 4096
+LINK = "key string, centre string, same double, plain double, band long, sig binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            m = {c: np.frombuffer(b"".join(b[c].to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1) for c in ("sig", "raw", "c_sig", "c_raw")}
-            same, plain = (m["sig"] == m["c_sig"]).mean(axis=1), (m["raw"] == m["c_raw"]).mean(axis=1)
-            yield pa.RecordBatch.from_arrays([b["band"], b["key"], b["centre"], pa.array(same), pa.array(plain)], ["band", "key", "centre", "same", "plain"])
 
-    return pairs.mapInArrow(run, "band long, key string, centre string, same double, plain double")
+def _cluster_block(t: pa.Table) -> pa.Table:
+    """Links of a block's files to centres among them, and the centres, which go on to the next round.
+
+    The smallest key without a centre becomes one and takes all files that are
+    similar to it, until every file has or is a centre.
+    """
+    t = t.sort_by("key")
+    keys, sigs = t.column("key").to_pylist(), t.column("sig").to_pylist()
+    m = np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(len(keys), PLACES + PLAIN)
+    left = np.arange(len(keys))
+    rows: list[tuple] = []
+    band = t.column("band")[0].as_py()
+    while len(left):
+        c = left[0]
+        # The low bits of two different hashes agree once in 256 times.
+        same = ((m[left, :PLACES] == m[c, :PLACES]).mean(axis=1) - 1 / 256) * 256 / 255
+        plain = ((m[left, PLACES:] == m[c, PLACES:]).mean(axis=1) - 1 / 256) * 256 / 255
+        near = same >= SIMILAR - 0.05
+        near[0] = False
+        rows += [(keys[i], keys[c], float(a), float(b), None, None) for i, a, b in zip(left[near], same[near], plain[near])]
+        rows.append((keys[c], keys[c], 1.0, 1.0, band, sigs[c]))
+        near[0] = True
+        left = left[~near]
+    cols = list(zip(*rows))
+    kinds = (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.binary())
+    return pa.table({f.split()[0]: pa.array(c, k) for f, c, k in zip(LINK.split(", "), cols, kinds)})
 
 
 def links(spark: SparkSession, feats: DataFrame, scratch: Scratch) -> DataFrame:
     """Verified (key, centre, same, plain) links within the buckets of the bands.
 
-    The files of a bucket are compared with its centre, the smallest key; those
-    that aren't similar to it get a centre of their own in the next round, until
-    every file of every bucket has been one or has been linked.  So no bucket is
-    compared pair by pair and none is cut.  Files with equal signatures are
-    linked to their smallest key first, and only that one goes on.
+    Files with equal signatures are linked to their smallest key first, and only
+    that one goes on.  A bucket is worked in blocks of bounded size; the centres
+    of its blocks meet in the next round, until a bucket's centres fit one
+    block.  So no bucket is one task's, and none is cut.
     """
-    same = feats.where("n_shingles >= %d" % LEAST_SHINGLES).groupBy("sig", "raw").agg(F.min("key").alias("first"))
-    twins = feats.where("n_shingles >= %d" % LEAST_SHINGLES).join(same, ["sig", "raw"]).where("key <> first").select("key", F.col("first").alias("centre"), F.lit(1.0).alias("same"), F.lit(1.0).alias("plain"))
-    firsts = feats.join(same.select(F.col("first").alias("key")), "key", "left_semi")
+    big = feats.where(f"n_shingles >= {LEAST_SHINGLES}")
+    same = big.groupBy("sig").agg(F.min("key").alias("first"))
+    out = [big.join(same, "sig").where("key <> first").select("key", F.col("first").alias("centre"), F.lit(1.0).alias("same"), F.lit(1.0).alias("plain"))]
+    firsts = big.join(same.select(F.col("first").alias("key")), "key", "left_semi")
     left = firsts.select(F.explode("bands").alias("band"), "key")
-    lone = left.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    left = scratch.save(left.join(lone, "band", "left_semi"), "buckets")
-    sides = firsts.select("key", "sig", "raw")
-    out = [twins]
-    for _ in range(MAX_ROUNDS):
-        size = left.groupBy("band").agg(F.min("key").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        pairs = left.join(size, "band").where("key <> centre").join(sides, "key")
-        pairs = pairs.join(sides.select(F.col("key").alias("centre"), F.col("sig").alias("c_sig"), F.col("raw").alias("c_raw")), "centre")
-        seen = scratch.save(_agree(pairs.select("band", "key", "centre", "sig", "raw", "c_sig", "c_raw")), "compared")
-        good = seen.where(F.col("same") >= SIMILAR - 0.05)
-        out.append(good.select("key", "centre", "same", "plain").distinct())
-        left = seen.where(F.col("same") < SIMILAR - 0.05).select("band", "key")
-        if left.limit(1).count() == 0:
+    shared = left.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    left = left.join(shared.select("band"), "band", "left_semi").join(firsts.select("key", "sig"), "key").select("band", "key", "sig")
+    for round_no in range(MAX_ROUNDS):
+        sizes = left.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        rows = left.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("key", F.lit(round_no)), "blocks"))
+        done = scratch.save(rows.groupBy("band", "block").applyInArrow(_cluster_block, LINK), "links")
+        out.append(done.where("key <> centre").select("key", "centre", "same", "plain"))
+        crowded = sizes.where("blocks > 1").select("band")
+        left = done.where("band is not null").select("band", "key", "sig").join(crowded, "band", "left_semi")
+        if crowded.limit(1).count() == 0:
             break
+        left = scratch.save(left, "centres")
     else:
         raise RuntimeError("buckets did not settle")
     result = out[0]
@@ -273,7 +311,7 @@ def classify(spark: SparkSession, chunks: DataFrame) -> DataFrame:
     edges = s.save(links(spark, feats, s), "links")
     family = components(spark, edges, "key", "centre").withColumnsRenamed({"node": "key", "component": "family"})
     copies = components(spark, edges.where(F.col("plain") >= SIMILAR - 0.05), "key", "centre").withColumnsRenamed({"node": "key", "component": "copy"})
-    slim = feats.drop("sig", "raw", "bands")
+    slim = feats.drop("sig", "bands")
     slim = slim.join(family, "key", "left").join(copies, "key", "left")
     slim = slim.withColumns({"family": F.coalesce("family", "key"), "copy": F.coalesce("copy", "key")})
     # Evidence of a family within its repository, and of copies over repositories.
