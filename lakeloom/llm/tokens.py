@@ -13,7 +13,9 @@ import functools
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ TOKENIZERS = os.environ.get("LAKELOOM_TOKENIZERS", "/opt/tokenizers")
 #: White space as the tokenizer's pattern understands it (fixed values).
 SPACE = r"\t-\r \x85\xA0  -     　"
 #: The tokenizer's word pattern in the JVM's notation (fixed values).
-WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+WORDS = rf"'(?:s|t|re|ve|m|ll|d)| ?+[A-Za-z\p{{L}}]++| ?+[0-9\p{{N}}]++| ?+[^{SPACE}\p{{L}}\p{{N}}]++|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]++"
 
 #: Bounds of the broadcast part of the word table: words, and bytes of one word.
 BROADCAST_WORDS = 400_000
@@ -90,43 +92,105 @@ def split_table(table: DataFrame, limit: int = BROADCAST_WORDS) -> tuple[DataFra
     return table, None
 
 
-def _positions(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("_key"), F.posexplode(words(F.col(text))).alias("pos", "word"))
+@functools.lru_cache(maxsize=2)
+def _lookup(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]:
+    """(words, first id's place, number of ids, ids) of a broadcast table."""
+    t = pa.ipc.open_stream(data).read_all().combine_chunks()
+    ids = t.column("ids").combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.int32()))
+    if isinstance(ids, pa.ChunkedArray):
+        ids = pa.concat_arrays(ids.chunks)
+    words_ = pa.concat_arrays(t.column("word").chunks) if t.num_rows else pa.array([], pa.string())
+    offsets = ids.offsets.to_numpy()
+    return words_, offsets[:-1], np.diff(offsets), ids.values
 
 
-def _joined(at: DataFrame, table: DataFrame, keep: str, limit: int) -> DataFrame:
-    """Every position with the ``keep`` column of its word."""
-    frequent, rest = split_table(table, limit)
-    near = at.join(F.broadcast(frequent.select("word", keep)), "word", "left" if rest is not None else "inner")
-    if rest is None:
-        return near
-    far = near.where(F.col(keep).isNull()).drop(keep).join(rest.select("word", keep), "word")
-    return near.where(F.col(keep).isNotNull()).unionByName(far)
+def _broadcast(spark: SparkSession, frequent: DataFrame):
+    t = frequent.select("word", "ids").toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema) as w:
+        w.write_table(t)
+    return spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+
+def _near(docs: DataFrame, key: str, text: str, shared, count_only: bool) -> DataFrame:
+    """The join of every text's words with the broadcast table, in columns.
+
+    Runs of words that the table has come out as fragments (key, start, whole,
+    ids), ``whole`` where the text is one fragment.  With ``count_only``, one row
+    (key, n) per text counts the ids.  No row of a single word leaves the task.
+    """
+    kind = dict(docs.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, begin, size, values = _lookup(shared.value)
+        values = values.to_numpy(zero_copy_only=False)
+        for b in batches:
+            col = b.column("ws")
+            flat = col.flatten()
+            idx = pc.index_in(flat, value_set=vocabulary)
+            known = idx.is_valid().to_numpy(zero_copy_only=False)
+            idx = idx.fill_null(0).to_numpy()
+            lens = np.diff(col.offsets.to_numpy())
+            first = np.concatenate(([0], np.cumsum(lens)[:-1])) if len(lens) else np.array([], dtype=np.int64)
+            of = np.repeat(np.arange(len(lens)), lens)
+            n_ids = np.where(known, size[idx] if len(size) else 0, 0)
+            if count_only:
+                yield pa.RecordBatch.from_arrays([b.column(key), pa.array(np.bincount(of, weights=n_ids, minlength=len(lens)).astype(np.int64))], [key, "n"])
+                continue
+            place = np.arange(len(of)) - first[of]
+            before = np.concatenate(([False], known[:-1])) & (place > 0)
+            start = known & ~before
+            found, at = idx[known], np.flatnonzero(start)
+            n_found = size[found] if len(size) else np.array([], dtype=np.int64)
+            ends = np.concatenate(([0], np.cumsum(n_found)))
+            # The ids of the found words, one after the other.
+            take = np.repeat(begin[found] - ends[:-1], n_found) + np.arange(int(ends[-1])) if len(found) else np.array([], dtype=np.int64)
+            rank = np.cumsum(known)[at] - 1
+            offsets = np.concatenate((ends[rank], [ends[-1]])).astype(np.int32)
+            missing = np.bincount(of[~known], minlength=len(lens)) if len(lens) else np.array([], dtype=np.int64)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[take].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(of[at])), pa.array(place[at].astype(np.int32)), pa.array(missing[of[at]] == 0), ids], [key, "start", "whole", "ids"])
+
+    schema = f"`{key}` {kind}, n long" if count_only else f"`{key}` {kind}, start int, whole boolean, ids array<int>"
+    return docs.where(F.length(text) > 0).select(key, words(F.col(text)).alias("ws")).mapInArrow(run, schema)
+
+
+def _far(docs: DataFrame, key: str, text: str, frequent: DataFrame, rest: DataFrame) -> DataFrame:
+    """(key, start, ids) of the words beyond the broadcast table, by a shuffled join."""
+    at = docs.select(key, F.posexplode(words(F.col(text))).alias("start", "word"))
+    return at.join(F.broadcast(frequent.select("word")), "word", "left_anti").join(rest.select("word", "ids"), "word").select(key, "start", "ids")
 
 
 def encode(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS, limit: int = BROADCAST_WORDS) -> DataFrame:
     """(key, ids) of every row; null and empty texts have an empty list.
 
     ``key`` must be unique.  Strings that look like special tokens are ordinary
-    text.  Other columns of ``docs`` play no part.
+    text.  Other columns of ``docs`` play no part.  Letters that the JVM's
+    Unicode version does not know yet are split as signs.
     """
     docs = docs.select(key, text)
-    scratch = Scratch(spark, "tokens")
-    table = word_table(docs, scratch, text, name, folder)
-    at = _joined(_positions(docs, key, text), table, "ids", limit)
-    found = at.groupBy("_key").agg(F.collect_list(F.struct("pos", "ids")).alias("parts"))
-    found = found.select("_key", F.flatten(F.transform(F.array_sort("parts"), lambda x: x["ids"])).alias("ids"))
-    empty = docs.where(F.coalesce(F.col(text), F.lit("")) == "").select(F.col(key).alias("_key"), F.array().cast("array<int>").alias("ids"))
-    return found.unionByName(empty).withColumnRenamed("_key", key)
+    table = word_table(docs, Scratch(spark, "tokens"), text, name, folder)
+    frequent, rest = split_table(table, limit)
+    near = _near(docs, key, text, _broadcast(spark, frequent), False)
+    empty = docs.where(F.coalesce(F.col(text), F.lit("")) == "").select(key, F.array().cast("array<int>").alias("ids"))
+    if rest is None:
+        return near.select(key, "ids").unionByName(empty)
+    parts = near.where("not whole").select(key, "start", "ids").unionByName(_far(docs, key, text, frequent, rest))
+    joined = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "ids"))).alias("parts"))
+    joined = joined.select(key, F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids"))
+    return near.where("whole").select(key, "ids").unionByName(joined).unionByName(empty)
 
 
 def token_counts(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS, limit: int = BROADCAST_WORDS) -> DataFrame:
     """(key, n_tokens) of the rows with a non-empty text."""
     docs = docs.select(key, text)
-    scratch = Scratch(spark, "tokens")
-    table = word_table(docs, scratch, text, name, folder).withColumn("k", F.size("ids"))
-    at = _joined(_positions(docs, key, text).drop("pos"), table, "k", limit)
-    return at.groupBy(F.col("_key").alias(key)).agg(F.sum("k").alias("n_tokens"))
+    table = word_table(docs, Scratch(spark, "tokens"), text, name, folder)
+    frequent, rest = split_table(table, limit)
+    near = _near(docs, key, text, _broadcast(spark, frequent), True)
+    if rest is None:
+        return near.withColumnRenamed("n", "n_tokens")
+    far = _far(docs, key, text, frequent, rest).select(key, F.size("ids").cast("long").alias("n"))
+    return near.unionByName(far).groupBy(key).agg(F.sum("n").alias("n_tokens"))
 
 
 def decode(ids: DataFrame, pieces: DataFrame, key: str = "doc_id") -> DataFrame:
