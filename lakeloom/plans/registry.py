@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lakeloom.plans import general, lookups
+from lakeloom.plans import general, graph, lookups
 
-MODULES = [general, lookups]
+MODULES = [general, lookups, graph]
 
 
 def queries() -> dict:
