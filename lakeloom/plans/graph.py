@@ -402,11 +402,11 @@ def _(s, d):
     return op.closure(s, n.select(F.col("id").alias("src"), F.col("superseded_by").alias("dst"))).select(F.col("a").alias("note"), F.col("b").alias("successor"), "hops")
 
 
-@query("g52_graph_overview", f"WITH {D.NO}, {D.MO} SELECT repo_name, count(*) AS n_modules, CAST(sum(n_chunks) AS BIGINT) AS n_chunks, max(n.k) AS n_notes, max(n.b) AS n_branches FROM mo LEFT JOIN (SELECT repo_name AS r, count(*) AS k, count(DISTINCT branch) AS b FROM no GROUP BY 1) n ON n.r = mo.repo_name GROUP BY 1")
+@query("g52_graph_overview", f"WITH {D.NO}, {D.MO} SELECT repo_name, count(*) AS n_modules, CAST(sum(n_chunks) AS BIGINT) AS n_chunks, coalesce(max(n.k), 0) AS n_notes, coalesce(max(n.b), 0) AS n_branches FROM mo LEFT JOIN (SELECT repo_name AS r, count(*) AS k, count(DISTINCT branch) AS b FROM no GROUP BY 1) n ON n.r = mo.repo_name GROUP BY 1")
 def _(s, d):
     m = D.modules(D.chunks(s, d)).groupBy("repo_name").agg(F.count(F.lit(1)).alias("n_modules"), F.sum("n_chunks").alias("n_chunks"))
     n = D.notes(s, d, ["repo_name", "branch", "updated_at"]).groupBy("repo_name").agg(F.count(F.lit(1)).alias("n_notes"), F.countDistinct("branch").alias("n_branches"))
-    return m.join(n, "repo_name", "left")
+    return m.join(n, "repo_name", "left").fillna(0, ["n_notes", "n_branches"])
 
 
 @query("g53_module_graph", f"WITH {D.IM}, k AS (SELECT module, count(*) AS n_chunks FROM nd GROUP BY 1), o AS (SELECT src, count(*) AS n_imports FROM im GROUP BY 1) SELECT k.module, k.n_chunks, coalesce(o.n_imports, 0) AS n_imports FROM k LEFT JOIN o ON o.src = k.module")

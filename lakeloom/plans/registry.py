@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lakeloom.plans import general, graph, lookups
+from lakeloom.plans import curation, general, graph, lookups
 
-MODULES = [general, lookups, graph]
+MODULES = [general, lookups, graph, curation]
 
 
 def queries() -> dict:
