@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lakeloom.plans import curation, general, graph, lookups
+from lakeloom.plans import curation, general, graph, lookups, text
 
-MODULES = [general, lookups, graph, curation]
+MODULES = [general, lookups, graph, curation, text]
 
 
 def queries() -> dict:
