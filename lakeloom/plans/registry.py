@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lakeloom.plans import curation, general, graph, lookups, text
+from lakeloom.plans import curation, general, graph, lookups, retrieval, text
+from lakeloom.streaming import events
 
-MODULES = [general, lookups, graph, curation, text]
+MODULES = [retrieval, lookups, graph, curation, text, events, general]
 
 
 def queries() -> dict:
@@ -22,4 +23,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark, sf_dir):
-    return general.p5_hierarchy(spark, sf_dir)
+    return retrieval.r8_hybrid_search(spark, sf_dir)
