@@ -216,9 +216,9 @@ def _(s, d):
     return op.upsert(D.modules(D.chunks(s, d)).select("repo_name", "path", "n_chunks"), new, ["repo_name", "path"])
 
 
-@query("q34_document_by_id", "SELECT doc_id, source, doc_path, repo_name, n_chars FROM documents")
+@query("q34_document_by_id", "SELECT doc_id, source, doc_path, repo_name, coalesce(n_chars, -1) AS n_chars FROM documents")
 def _(s, d):
-    return table(s, d, "documents").select("doc_id", "source", "doc_path", "repo_name", "n_chars")
+    return table(s, d, "documents").select("doc_id", "source", "doc_path", "repo_name", F.coalesce("n_chars", F.lit(-1)).alias("n_chars"))
 
 
 @query("q35_document_by_source", "SELECT repo_name, doc_path, max(doc_id) AS doc_id FROM documents WHERE doc_path IS NOT NULL GROUP BY ALL")
