@@ -203,7 +203,9 @@ def bodies(chunks: DataFrame) -> DataFrame:
     rows = headers(tokens(chunks))
     w = Window.partitionBy("id").orderBy("pos")
     step = F.when(F.col("kind") == "{", 1).when(F.col("kind") == "}", -1).otherwise(0)
-    rows = rows.withColumn("depth", F.sum(step).over(w))
+    count = lambda c: F.length("token") - F.length(F.replace(F.col("token"), F.lit(c)))
+    parens = F.when(F.col("kind") == "X", count("(") - count(")")).otherwise(0)
+    rows = rows.withColumns({"depth": F.sum(step).over(w), "parens": F.coalesce(F.sum(parens).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
     # Openings and closings of one level alternate, so the next of an opening is its pair.
     level = F.when(F.col("kind") == "{", F.col("depth")).when(F.col("kind") == "}", F.col("depth") + 1)
     indent = F.length(F.regexp_extract("token", r"\n([ \t]*)$", 1))
@@ -211,8 +213,9 @@ def bodies(chunks: DataFrame) -> DataFrame:
     rows = rows.withColumns({"level": level, "indent": F.coalesce(deep, F.lit(0))})
     starts = rows.where("fn is not null")
     pairs = rows.where("level is not null").withColumn("end", F.lead("pos").over(Window.partitionBy("id", "level").orderBy("pos"))).where("kind = '{'")
-    pairs = pairs.select("id", F.col("pos").alias("open"), "end")
-    brace = starts.where("braces and type = 'file'").select("id", "fn", "pos").join(pairs, "id").where("open > pos and open <= pos + 5")
+    # A block is the function's if it opens outside the parentheses of the header, where defaults may have braces.
+    pairs = pairs.select("id", F.col("pos").alias("open"), "end", F.col("parens").alias("inside"))
+    brace = starts.where("braces and type = 'file'").select("id", "fn", "pos", "parens").join(pairs, "id").where("open > pos and open <= pos + 12 and inside = parens")
     brace = brace.groupBy("id", "fn", "pos").agg(F.min(F.struct("open", "end")).alias("m")).select("id", "fn", "pos", F.col("m.end").alias("end"))
     # Lines by level: every line end closes the functions that are indented as deep or deeper.
     lines = rows.where("not braces and type = 'file' and kind = 'G' and next is not null").select("id", F.col("pos").alias("stop"), indent.alias("at"))

@@ -44,6 +44,17 @@ def p4_found(spark, sf_dir):
     return neighbours.mutual(neighbours.neighbours(spark, _vector_fields(spark, sf_dir), s))
 
 
+#: Lists that a query of p4_neighbours visits; README gives the recall that was measured with it.
+NEIGHBOUR_PROBES = 256
+
+
+def p4_neighbours(spark, sf_dir):
+    """The five most similar ids of every hundredth id, by a hash, against all rows of each field."""
+    s = neighbours.Search(k=5, probes=NEIGHBOUR_PROBES)
+    asked = F.pmod(F.xxhash64("id"), F.lit(100)) == 0
+    return neighbours.neighbours(spark, _vector_fields(spark, sf_dir), s, asked).select("field", "id", "other", F.round("cosine", 6).alias("cosine"), "place")
+
+
 def p6_found(spark, sf_dir):
     return docpairs.found(table(spark, sf_dir, "chunks"))
 
@@ -82,7 +93,7 @@ def p10_scores(spark, sf_dir):
     return residue.scored(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_redacted, p4_found, p6_found, p6_pairs, p7_found, p7_kinds, p8_ids, p9_mix, p9_report, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_redacted, p4_found, p4_neighbours, p6_found, p6_pairs, p7_found, p7_kinds, p8_ids, p9_mix, p9_report, p10_found, p10_scores)}
 
 SQL: dict[str, str] = {
     "p1_found": """

@@ -205,5 +205,5 @@ def scored(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
             kinds = (pa.bool_(), pa.string(), pa.float64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], [key, "residue", "reason", "score", "residue_words", "content_words"])
 
-    some = docs.where(F.length(F.regexp_replace(text, r"[\s ]", "")) > 0).select(key, text)
+    some = docs.where(F.length(F.regexp_replace(text, r"[\s ]", "")) > 0).select(key, text)
     return some.mapInArrow(run, f"{key} {kind}, residue boolean, reason string, score double, residue_words int, content_words int")
