@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lakeloom.plans import curation, general, graph, lookups, retrieval, text
+from lakeloom.plans import curation, general, graph, lookups, more, retrieval, text
 from lakeloom.streaming import events
 
-MODULES = [retrieval, lookups, graph, curation, text, events, general]
+MODULES = [retrieval, lookups, graph, curation, text, more, events, general]
 
 
 def queries() -> dict:
