@@ -23,8 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Layers of encodings that are followed.
-MAX_LAYERS = 6
 MASK = "REDACTED"
 
 #: Public token formats (fixed values).
@@ -79,7 +77,10 @@ def _places(lower: str, stems: tuple[str, ...]) -> list[int]:
 _NAME = string.ascii_letters + string.digits + "_-."
 _TAIL = re.compile(r"[\w.\-]*")
 #: From a name to its value: closing quote, type note, sign of assignment.
-_ASSIGN = re.compile(r"""["'`]?\s{0,3}(?:\]|\))?\s{0,2}(?::\s{0,2}&?(?:'static\s)?[A-Za-z][\w<>\[\]?.]*\s{0,3}(?=[:=]))?(?:=>|:=|===?|!==?|=|:|"?\s+value\s*=)\s{0,6}""")
+#: Line ends are bounded, blanks are not; blanks are taken possessively, so a long run costs its length once.
+_ASSIGN = re.compile(
+    r"""["'`]?\s{0,3}[ \t]*+(?:\]|\))?\s{0,2}[ \t]*+(?::\s{0,2}[ \t]*+&?(?:'static\s)?[A-Za-z][\w<>\[\]?.]*\s{0,3}[ \t]*+(?=[:=]))?(?:=>|:=|===?|!==?|=|:|(?:"\s+|(?<=\s)\s*)value\s*=)\s{0,6}[ \t]*+"""
+)
 _QUOTED = re.compile(r"""[bBrRfFuU@$]{0,2}(?:\"\"\"|'''|"|'|`)""")
 _BARE = re.compile(r"[^\s\"'`,;()\[\]{}<>]\S*")
 _FLAG = re.compile(r"(?i)(?<![\w])--?([a-z][a-z\-]*?(?:password|passwd|pwd|pass|secret|token|api-?key|secret-key|access-key|key))(?:=|[ \t]+)([^\s\"',\]]{6,})")
@@ -103,6 +104,11 @@ SAMPLE = re.compile(
     r"^(?:none|null|nil|undefined|true|false|yes|no|empty|unset|default|password|passwort|secret|token|changeme|test|foo|bar|n/?a|tbd|string|str|int|any|bytes)$|^my[_\-]|_here$|-here$|^(?:0+|1234567890|0123456789\w*|abc(?:def)?\w*123\w*|deadbeef\w*)$"
 )
 
+#: The farthest that a remark begins before the last colon of its line: sign, gap, word, gap.
+_REMARK_REACH = 160
+#: Length from which a short sample word may stand in a random value by chance.
+_LONG = 1000
+
 
 @dataclass(frozen=True)
 class Hit:
@@ -120,12 +126,19 @@ def secret_name(name: str) -> bool:
     return not ABOUT.search(name)
 
 
+def _sample(v: str) -> bool:
+    """Does the value only stand for a secret?  In a long one, a sample word counts only if it stands alone."""
+    if len(v) <= _LONG:
+        return bool(SAMPLE.search(v))
+    return any(not v[max(m.start() - 1, 0) : m.start()].isalnum() and not v[m.end() : m.end() + 1].isalnum() for m in SAMPLE.finditer(v))
+
+
 def usable(v: str) -> bool:
     """Can this literal be used as a secret as it stands?"""
     v = v.strip()
     if len(v) < 6 or any(c.isspace() for c in v):
         return False
-    if UUID.match(v) or DIGEST.match(v) or ENCRYPTED.match(v) or REFERENCE.search(v) or SAMPLE.search(v):
+    if UUID.match(v) or DIGEST.match(v) or ENCRYPTED.match(v) or REFERENCE.search(v) or _sample(v):
         return False
     if re.match(r"(?i)^(?:https?|wss?|ftp|file)://", v) or re.match(r"^[./~]*/?(?:[\w.\-]+/)+[\w.\-]*\.\w{1,5}$", v) or v.startswith(("./", "~/", "#", "input[")) or re.match(r"^/[a-z0-9_.\-/]*$", v):
         return False
@@ -222,26 +235,40 @@ def key_container(data: bytes) -> str | None:
     return None
 
 
-def _inside(v: str, depth: int) -> str | None:
-    """The kind of secret that a literal encodes, if it does."""
-    if depth >= MAX_LAYERS:
-        return None
-    for data in layers(v):
-        if not data:
-            continue
-        if kind := key_container(data):
-            return kind
-        try:
-            text = data.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if len(text) < 8 or text == v or sum(c.isprintable() or c in "\r\n\t" for c in text) < len(text):
+#: Runs by which a sign is encoded over and over; each layer only takes one unit off.
+_CHAIN = re.compile(r"(?i)(?<=%)(25)(?:25){8,}|(?<=\\)(x5c|u005c|134)(?:\2){8,}")
+
+
+def _inside(v: str) -> str | None:
+    """The kind of secret that a literal encodes in any number of layers, if it does.
+
+    What a layer decodes to is shorter than the literal, so the layers end.
+    """
+    left, tried = [v], set()
+    while left:
+        v = _CHAIN.sub(lambda m: (m.group(1) or m.group(2)) * 8, left.pop())
+        if v in tried:
             continue
-        # The decoded text may itself be one encoded literal, without anything around it.
-        if not re.search(r"\s", bare := text.strip()) and (kind := _inside(bare, depth + 1)):
-            return kind
-        for h in scan(text, True, depth + 1):
-            return h.kind
+        tried.add(v)
+        more = []
+        for data in layers(v):
+            if not data:
+                continue
+            if kind := key_container(data):
+                return kind
+            try:
+                text = data.decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            if len(text) < 8 or text == v or sum(c.isprintable() or c in "\r\n\t" for c in text) < len(text):
+                continue
+            for h in _open_hits(text, True):
+                return h.kind
+            # The decoded text may itself be one encoded literal, without anything around it.
+            if not re.search(r"\s", bare := text.strip()):
+                more.append(bare)
+            more += [text[lo:hi] for lo, hi in _literals(text)]
+        left += reversed(more)
     return None
 
 
@@ -262,9 +289,11 @@ def _literal_at(text: str, at: int, bare: bool) -> list[tuple[int, int]] | None:
         spans, lo = [], q.end()
         while True:
             hi = lo
+            eol = text.find("\n", lo) if len(quote) == 1 and quote != "`" else -1
+            stop = eol if eol >= 0 else len(text)
             while True:
-                hi = text.find(quote, hi)
-                if hi < 0 or hi - lo > 4000:
+                hi = text.find(quote, hi, stop)
+                if hi < 0:
                     return spans or None
                 back = 0
                 while hi - 1 - back >= lo and text[hi - 1 - back] == "\\":
@@ -272,8 +301,6 @@ def _literal_at(text: str, at: int, bare: bool) -> list[tuple[int, int]] | None:
                 if back % 2 == 0 or quote == "`":
                     break
                 hi += 1
-            if "\n" in text[lo:hi] and len(quote) == 1 and quote != "`":
-                return spans or None
             spans.append((lo, hi))
             more = re.compile(r"\s*(?:\+|\.\.|\.|~|&|\\)?\s*[bBrRfFuU]?(" + re.escape(quote) + r")").match(text, hi + len(quote))
             if not more or len(quote) > 1 or (not text[hi + 1 : more.end() - 1].strip() and quote == "`"):
@@ -289,11 +316,14 @@ def _literal_at(text: str, at: int, bare: bool) -> list[tuple[int, int]] | None:
     return None
 
 
-def scan(text: str, config: bool, depth: int = 0) -> list[Hit]:
-    """All secrets of a text in order; spans don't overlap.
+def _literals(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the literals that may be an encoding."""
+    for m in _LITERAL.finditer(text):
+        yield m.span(2 if m.group(2) else 3)
 
-    ``config``: unquoted values count, as in settings files.
-    """
+
+def _open_hits(text: str, config: bool) -> list[Hit]:
+    """The secrets of a text that stand in it as they are."""
     hits: list[Hit] = []
 
     def add(start: int, end: int, kind: str, at: int | None = None) -> None:
@@ -367,14 +397,23 @@ def scan(text: str, config: bool, depth: int = 0) -> list[Hit]:
     lines = {(text.rfind("\n", 0, at) + 1) for at in _places(lower, _REMARK_STEMS)}
     for lo in sorted(lines):
         hi = text.find("\n", lo)
-        m = _PHRASE.search(text[lo : hi if hi >= 0 else len(text)][:4000])
+        hi = hi if hi >= 0 else len(text)
+        # The value ends the line and holds no colon, so the last colon is the one before it.
+        m = _PHRASE.search(text, max(lo, text.rfind(":", lo, hi) - _REMARK_REACH), hi)
         if m and usable(m.group(1)) and re.search(r"\d", m.group(1)) and not m.group(1).endswith((".", ",")):
-            add(lo + m.start(1), lo + m.end(1), "remark")
-    for m in _LITERAL.finditer(text):
-        g = 2 if m.group(2) else 3
-        v = m.group(g)
-        if len(v) <= 100_000 and (depth < MAX_LAYERS) and (kind := _inside(v, depth)):
-            add(m.start(g), m.end(g), f"encoded_{kind}")
+            add(m.start(1), m.end(1), "remark")
+    return hits
+
+
+def scan(text: str, config: bool) -> list[Hit]:
+    """All secrets of a text in order; spans don't overlap.
+
+    ``config``: unquoted values count, as in settings files.
+    """
+    hits = _open_hits(text, config)
+    for lo, hi in _literals(text):
+        if kind := _inside(text[lo:hi]):
+            hits.append(Hit(lo, hi, f"encoded_{kind}", lo))
     hits.sort(key=lambda h: (h.start, -h.end))
     out: list[Hit] = []
     for h in hits:

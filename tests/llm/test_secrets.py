@@ -59,3 +59,30 @@ def test_path_and_table(spark):
     assert {(r["id"], r["line_no"]) for r in S.found(df).collect()} == {("1", 0), ("4", 1), ("4", 2)}
     assert [r["id"] for r in S.redacted(df).collect()] == ["4"]
     assert S.found(df.limit(0)).count() == 0
+
+
+def _nested(text, layers):
+    for _ in range(layers):
+        text = base64.b64encode(text.encode()).decode()
+    return text
+
+
+LONG_KEY = "aZ3-kQ9/" * 700
+PKCS12 = _der(0x30, _der(2, b"\3"), _der(0x30, b"\x5a" * 60_000))
+REMARK = "# login for the box: deploy / manifestTicket2011"
+
+
+@pytest.mark.parametrize("text", [
+    'k = "' + base64.b64encode(b"\xfe\xed\xfe\xed" + bytes(range(256)) * 400).decode() + '"', f'k = "{base64.b64encode(PKCS12).decode()}"',  # literals over 75 KB
+    "x();" * 1500 + REMARK, "// " + "y" * 3990 + " " + REMARK, f'password = "{LONG_KEY}"', f"secret = '''{LONG_KEY}'''",
+    'api_key                    =                    "Hinge-quartz47!"', "password\t\t\t\t\t\t\t\t:\t\t\t\t\t\t\t\tHinge-quartz47!", '<add key="pwd"          value  =         "Kz6tfl92.CfMtq" />',
+    f'b = "{_nested(TOKEN, 9)}"', 'p = "%' + "25" * 5000 + "67" + TOKEN[1:] + '"',
+])
+def test_found_at_any_length(text):
+    assert _lines("first line\n" + text, "app/settings.yaml") == [2]
+    assert TOKEN not in S.redact(text, "a.yaml") and "Hinge" not in S.redact(text, "a.yaml") and "manifestTicket" not in S.redact(text, "a.yaml") and LONG_KEY not in S.redact(text, "a.yaml")
+
+
+@pytest.mark.parametrize("text", ["password" + " " * 200_000 + "x", "x = '" + "%25" * 60_000 + "'", "p = \"" + "\\x5c" + "x5c" * 60_000 + '"', "login " * 40_000, "password = '" * 20_000])
+def test_long_texts_end(text):
+    assert _lines(text, "app/settings.yaml") == []
