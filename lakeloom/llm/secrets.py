@@ -444,17 +444,35 @@ def lines_of(text: str | None, path: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def redact(text: str | None, path: str | None, mask: str = MASK) -> str | None:
-    """The text with each secret value replaced by the mask."""
-    if not text:
-        return text
+def _masked(text: str, hits: list[Hit], mask: str) -> str:
     out, last = [], 0
-    for h in scan(text, bool(CONFIG_EXT.search(path or ""))):
+    for h in hits:
         out += [text[last : h.start], mask]
         last = h.end
     return "".join([*out, text[last:]])
 
 
+def redact(text: str | None, path: str | None, mask: str = MASK) -> str | None:
+    """The text with each secret value replaced by the mask."""
+    return _masked(text, scan(text, bool(CONFIG_EXT.search(path or ""))), mask) if text else text
+
+
+def path_spans(path: str) -> list[Hit]:
+    """Secrets of a path in order; those that overlap are one."""
+    out: list[Hit] = []
+    for h in sorted(scan_path(path), key=lambda h: (h.start, -h.end)):
+        if out and h.start < out[-1].end:
+            out[-1] = Hit(out[-1].start, max(out[-1].end, h.end), out[-1].kind, 0)
+        else:
+            out.append(h)
+    return out
+
+
+def redact_path(path: str | None, mask: str = MASK) -> str | None:
+    """The path with each secret value replaced by the mask."""
+    return _masked(path, path_spans(path), mask) if path else path
+
+
 def found(files: DataFrame) -> DataFrame:
     """Distinct (id, line_no, kind) of all secrets of (id, module_path, content) rows.
 
@@ -472,17 +490,25 @@ def found(files: DataFrame) -> DataFrame:
     return files.select("id", "module_path", "content").mapInArrow(run, "id string, line_no int, kind string").distinct()
 
 
-def redacted(files: DataFrame) -> DataFrame:
-    """(id, content, n_redacted) of every distinct id whose content holds a secret."""
+def rewritten(files: DataFrame) -> DataFrame:
+    """(id, module_path, content, n_path, n_content) of every distinct id with a secret in either field."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for key, path, text in zip(*(b[c].to_pylist() for c in ("id", "module_path", "content"))):
-                n = len(scan(text, bool(CONFIG_EXT.search(path or "")))) if text else 0
-                if n:
-                    rows.append((key, redact(text, path), n))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))], ["id", "content", "n_redacted"])
+                in_path = path_spans(path) if path else []
+                in_text = scan(text, bool(CONFIG_EXT.search(path or ""))) if text else []
+                if in_path or in_text:
+                    rows.append((key, _masked(path, in_path, MASK) if path else path, _masked(text, in_text, MASK) if text else text, len(in_path), len(in_text)))
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["id", "module_path", "content", "n_path", "n_content"])
+
+    cols = ("module_path", "content", "n_path", "n_content")
+    out = files.select("id", "module_path", "content").mapInArrow(run, "id string, module_path string, content string, n_path int, n_content int")
+    return out.groupBy("id").agg(F.first(F.struct(*cols)).alias("r")).select("id", *(f"r.{c}" for c in cols))
 
-    out = files.select("id", "module_path", "content").mapInArrow(run, "id string, content string, n_redacted int")
-    return out.groupBy("id").agg(F.first("content").alias("content"), F.first("n_redacted").alias("n_redacted"))
+
+def redacted(files: DataFrame) -> DataFrame:
+    """(id, content, n_redacted) of every distinct id whose content holds a secret; paths are left to ``rewritten``."""
+    return rewritten(files).where("n_content > 0").select("id", "content", F.col("n_content").alias("n_redacted"))

@@ -86,3 +86,16 @@ def test_found_at_any_length(text):
 @pytest.mark.parametrize("text", ["password" + " " * 200_000 + "x", "x = '" + "%25" * 60_000 + "'", "p = \"" + "\\x5c" + "x5c" * 60_000 + '"', "login " * 40_000, "password = '" * 20_000])
 def test_long_texts_end(text):
     assert _lines(text, "app/settings.yaml") == []
+
+
+def test_redacted_query_covers_the_path(spark, tmp_path):
+    from lakeloom.llm import queries
+
+    secret = "de9e7fa8bcc198c6df8f27f9afc2a1f21d61fdc5"
+    rows = [("1", f"export/access_token={secret}/a.yaml", "x: 1"), ("1", f"export/access_token={secret}/a.yaml", "x: 1"), ("2", f"a/token={TOKEN}/b.env", f"K={TOKEN}\n"), ("3", "deploy/oauth2:Hinge-quartz47@host/x", None), ("4", "a.env", f"K={TOKEN}\n"), ("5", None, None), ("6", "a.py", "x = 1")]
+    spark.createDataFrame(rows, "id string, module_path string, content string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {r["id"]: (r["module_path"], r["content"], r["n_redacted"]) for r in queries.p2_redacted(spark, str(tmp_path)).collect()}
+    assert got == {
+        "1": ("export/access_token=REDACTED/a.yaml", "x: 1", 1), "2": ("a/token=REDACTED/b.env", "K=REDACTED\n", 2),
+        "3": ("deploy/oauth2:REDACTED@host/x", None, 1), "4": ("a.env", "K=REDACTED\n", 1),
+    }
