@@ -9,13 +9,16 @@ the estimate's error bound tells which vectors may be among the k best (and
 above the least similarity), and only these are compared exactly.
 
 Exact copies of a vector beyond the first ``k + 1`` ids can be among nobody's k
-best when ties go to the smaller id, so they are left out before the search.
+best when ties go to the smaller id, so they are left out before the search.  As
+queries, they have the answer of the copy in place ``k + 1``, before which the
+same ``k`` smaller ids stand.
 Lists over ``BLOCK`` rows are split, and queries go to every part.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +43,9 @@ DIGITS = 9
 class Search:
     k: int = 5
     least: float = -1.0  # pairs below this cosine are no neighbours
-    probes: int = 6  # lists that a query visits
+    probes: int = 6  # lists that a query visits at least
+    share: float = 0.0  # share of the lists that a query visits at least
+    copies: bool = True  # answers for copies beyond the first k + 1 too
     mutual_lists: bool = True  # a pair found from one side counts for both
 
 
@@ -222,30 +227,43 @@ def neighbours(spark: SparkSession, fields: dict[str, tuple[DataFrame, str, str]
     cosine go to the smaller id.  A field without usable vectors has no rows.
     """
     scratch = Scratch(spark, "neighbours")
-    plans, saved, centroids, widths = [], [], {}, {}
+    plans, saved, copies, centroids, widths = [], [], [], {}, {}
     for field, (rows, id_col, vec_col) in fields.items():
         df, width = usable(rows, id_col, vec_col)
         if not width:
             continue
         same = Window.partitionBy("vec").orderBy("id")
         df = df.groupBy("id").agg(F.first("vec").alias("vec"))
-        df = df.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= s.k + 1).drop("_copy")
+        upto = same.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        df = df.withColumns({"_copy": F.row_number().over(same), "like": F.nth_value("id", s.k + 1).over(upto)})
+        if s.copies:
+            df = df.withColumn("vec", F.when(F.col("_copy") <= s.k + 1, F.col("vec")))
+        else:
+            df = df.where(F.col("_copy") <= s.k + 1)
         df = scratch.save(df.withColumn("rid", F.monotonically_increasing_id()), "vectors")
         saved.append(df)
+        if s.copies:
+            more = df.where(F.col("_copy") > s.k + 1)
+            more = more if asked is None else more.where(asked)
+            copies.append(scratch.save(more.select(F.lit(field).alias("field"), F.col("id").alias("copy"), F.col("like").alias("id")), "copies"))
+        df = df.where(F.col("_copy") <= s.k + 1).select("id", "vec", "rid")
         centroids[field] = fit(df, width, df.count())
         widths[field] = width
-        plans.append(index(spark, df, width, field, centroids[field], s.probes))
+        plans.append(index(spark, df, width, field, centroids[field], max(s.probes, math.ceil(s.share * len(centroids[field])))))
     empty = spark.createDataFrame([], "field string, id string, other string, cosine double, place int")
     if not plans:
         return empty
     idx = scratch.save(functools.reduce(DataFrame.unionByName, plans), "index")
     for df in saved:
         scratch.drop(df)
+    copies = functools.reduce(DataFrame.unionByName, copies) if copies else None
     results = []
     for width in sorted(set(widths.values())):
         mine = [f for f, w in widths.items() if w == width]
         own = idx.where(F.col("field").isin(mine))
         queries = own if asked is None else own.where(asked)
+        if asked is not None and copies is not None:
+            queries = queries.unionByName(own.where(~F.coalesce(asked, F.lit(False))).join(copies, ["field", "id"], "left_semi"))
         run = _search_block(width, {f: centroids[f] for f in mine}, s)
         results.append(_blocks(own, queries).groupBy("field", "list", "part", "share").applyInArrow(run, FOUND))
     found = functools.reduce(DataFrame.unionByName, results)
@@ -255,7 +273,11 @@ def neighbours(spark: SparkSession, fields: dict[str, tuple[DataFrame, str, str]
     ids = idx.select("field", "rid", "id")
     named = found.join(ids.withColumnsRenamed({"rid": "a"}), ["field", "a"]).join(ids.withColumnsRenamed({"rid": "b", "id": "other"}), ["field", "b"])
     best = Window.partitionBy("field", "id").orderBy(F.desc("cosine"), "other")
-    return named.withColumn("place", F.row_number().over(best)).where(F.col("place") <= s.k).select("field", "id", "other", "cosine", "place")
+    out = named.withColumn("place", F.row_number().over(best)).where(F.col("place") <= s.k).select("field", "id", "other", "cosine", "place")
+    if copies is None:
+        return out
+    theirs = copies.join(out, ["field", "id"]).select("field", F.col("copy").alias("id"), "other", "cosine", "place")
+    return (out if asked is None else out.where(asked)).unionByName(theirs)
 
 
 def mutual(found: DataFrame) -> DataFrame:

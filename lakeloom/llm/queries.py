@@ -41,17 +41,18 @@ def _vector_fields(spark, sf_dir):
 
 def p4_found(spark, sf_dir):
     """A pair over 0.95 in one of two lists is enough to be found, so few lists are visited."""
-    s = neighbours.Search(k=5, least=0.95, probes=4)
+    # The answers of further copies are one-sided, so no pair is theirs.
+    s = neighbours.Search(k=5, least=0.95, probes=4, copies=False)
     return neighbours.mutual(neighbours.neighbours(spark, _vector_fields(spark, sf_dir), s))
 
 
-#: Lists that a query of p4_neighbours visits; README gives the recall that was measured with it.
-NEIGHBOUR_PROBES = 256
+#: Lists that a query of p4_neighbours visits: so many, and this share of them; README gives the recall.
+NEIGHBOUR_PROBES, NEIGHBOUR_SHARE = 256, 0.5
 
 
 def p4_neighbours(spark, sf_dir):
     """The five most similar ids of every hundredth id, by a hash, against all rows of each field."""
-    s = neighbours.Search(k=5, probes=NEIGHBOUR_PROBES)
+    s = neighbours.Search(k=5, probes=NEIGHBOUR_PROBES, share=NEIGHBOUR_SHARE)
     asked = F.pmod(F.xxhash64("id"), F.lit(100)) == 0
     return neighbours.neighbours(spark, _vector_fields(spark, sf_dir), s, asked).select("field", "id", "other", F.round("cosine", 6).alias("cosine"), "place")
 

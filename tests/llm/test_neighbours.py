@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from lakeloom.llm import neighbours as N
 
@@ -42,3 +43,16 @@ def test_recall_without_threshold(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "id string, vec array<float>")
     assert N.neighbours(spark, {"f": (df, "id", "vec")}, N.Search()).count() == 0
+
+
+def test_every_copy_asked_is_answered(spark):
+    ids, x = _data()
+    want = N.brute_force(ids, x.astype(np.float64), 5)
+    df = _frame(spark, ids, x)
+    for asked in (None, F.substring("id", 5, 1).isin("7", "3"), F.col("id") == "k0214"):
+        # All lists are visited, so the answers are exact.
+        got = {}
+        for r in N.neighbours(spark, {"f": (df, "id", "vec")}, N.Search(probes=1, share=1.0), asked).orderBy("id", "place").collect():
+            got.setdefault(r["id"], []).append(r["other"])
+        keys = set(ids) if asked is None else {r["id"] for r in df.where(asked).collect()} & set(ids)
+        assert got == {k: want[k] for k in keys}
