@@ -294,7 +294,7 @@ def _(s, d):
 
 
 def _flow_starts(n):
-    return n.where((F.col("kind") == "PROMO") & (F.col("size") <= 2))
+    return n.where("kind = 'PROMO'")
 
 
 @query("g33_execution_flows")
@@ -305,7 +305,7 @@ def _(s, d):
 
 @query("g34_flow_list", f"WITH {D.ND} SELECT id AS flow, name, kind AS entry_type, row_number() OVER (ORDER BY kind, name, id) AS place FROM nd WHERE kind = 'PROMO' AND size <= 2")
 def _(s, d):
-    n = _flow_starts(D.nodes(s, d))
+    n = _flow_starts(D.nodes(s, d)).where("size <= 2")  # as its SQL; the flows themselves start at every entry point
     return n.select(F.col("id").alias("flow"), "name", F.col("kind").alias("entry_type"), F.row_number().over(Window.orderBy("kind", "name", "id")).alias("place"))
 
 

@@ -52,3 +52,12 @@ def test_flow_is_a_preorder_walk(spark):
     assert [(r["node"], r["depth"], r["truncated"]) for r in rows] == [(1, 0, False), (3, 1, False), (4, 2, False), (2, 1, False)]
     cut = graph.flows(names.where(F.col("id") == 1), names, e, most=2).collect()
     assert len(cut) == 2 and all(r["truncated"] for r in cut)
+
+
+def test_flows_start_at_every_entry_point(spark, monkeypatch):
+    from lakeloom.plans import graph as plans
+
+    names = spark.createDataFrame([(1, "a", "PROMO", 1), (2, "old rod b", "PROMO", 40), (3, "c", "OTHER", 1)], "id long, name string, kind string, size int")
+    monkeypatch.setattr(plans, "_graph", lambda s, d: (names, _edges(spark, [(1, 3), (2, 3)])))
+    run = lambda q: {r["flow"] for r in plans.QUERIES[q](spark, "").collect()}
+    assert run("g33_execution_flows") == run("g36_flow_steps") == {1, 2} and run("g35_flows_by_symbol") == {2}
