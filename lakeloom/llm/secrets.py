@@ -89,6 +89,11 @@ _PHRASE = re.compile(r"(?i)(?:#|//|--|;|\*|<!--|^)[^\n]{0,60}?\b(?:login|credent
 _PIECES = re.compile(r"""(["'`])((?:[^"'`\\\n]|\\.)*)\1(?:\s*(?:\+|\.|~|&|<>|\.\.|\|\|)?\s*\\?\s*(["'`])((?:[^"'`\\\n]|\\.)*)\3)+""")
 _PIECE = re.compile(r"""(["'`])((?:[^"'`\\\n]|\\.)*)\1""")
 _LITERAL = re.compile(r"""(["'`])([^"'`\n]{16,}?)\1|(?<=[=:\s])([A-Za-z0-9+/_\-%\\=]{24,})(?=\s|$)""", re.M)
+#: An encoding over several lines: lines of one alphabet, the marks of a comment or a continued string around them.
+_BLOCK = re.compile(r"""(?:^[ \t]*+(?:(?:#|//|\*|--|;)[ \t]*+)?["'`]?[A-Za-z0-9+/_\-]{24,}+={0,2}(?:\\n)?["'`]?[ \t]*+(?:\\|\+|,|\.)?[ \t]*+\r?\n)+[ \t]*+(?:(?:#|//|\*|--|;)[ \t]*+)?["'`]?[A-Za-z0-9+/_\-]{4,}+={0,2}""", re.M)
+_RUN = re.compile(r"[A-Za-z0-9+/_\-]{4,}={0,2}")
+#: The first line of an encoding may follow an opening quote or a sign on the line of its name.
+_BLOCK_HEAD = re.compile(r"""["'`=:|]{1,3}[ \t]*([A-Za-z0-9+/_\-]{24,}={0,2})(?:\\n)?["'`]?[ \t]*(?:\\|\+|,|\.)?[ \t]*\r?\n$""")
 
 CONFIG_EXT = re.compile(r"(?i)(?:\.(?:env|ini|ya?ml|toml|cfg|conf|config|properties|npmrc|pypirc|netrc|sample|example|tfvars|tf|hcl|sh|bash|zsh|dockerfile|json|txt|md|rst|xml|plist|service|pgpass|htpasswd)|dockerfile|\.env[.\w]*)$")
 
@@ -133,6 +138,17 @@ def _sample(v: str) -> bool:
     return any(not v[max(m.start() - 1, 0) : m.start()].isalnum() and not v[m.end() : m.end() + 1].isalnum() for m in SAMPLE.finditer(v))
 
 
+#: Words of sentences, which no pass phrase is made of (fixed values).
+_SENTENCE = re.compile(r"(?i)\b(?:the|a|an|your|you|my|our|please|enter|type|must|should|is|are|was|be|not|for|of|to|in|on|at|with|and|or|if|forgot|reset|new|old|wrong|invalid|incorrect|confirm|repeat|again|password|passphrase|phrase|secret|der|die|das|bitte|ihr|ist|le|la|votre|de|du|el|su|oublié|nueva)\b")
+PHRASE_NAME = re.compile(r"(?i)pass_?-?phrase|mnemonic|seed_?-?(?:phrase|words)|recovery_?-?phrase|passwor[dt]$|passwd$|kennwort$")
+
+
+def phrase(name: str, v: str) -> bool:
+    """Is this a pass phrase, several words that make no sentence, under the name of one?"""
+    words = v.split()
+    return bool(PHRASE_NAME.search(name)) and 4 <= len(words) <= 48 and all(re.fullmatch(r"[a-z]{3,10}\d{0,3}", w) for w in words) and len(set(words)) > 2 and not _SENTENCE.search(v)
+
+
 def usable(v: str) -> bool:
     """Can this literal be used as a secret as it stands?"""
     v = v.strip()
@@ -196,32 +212,134 @@ def _der(data: bytes, at: int = 0) -> tuple[int, int, int] | None:
     return (tag, start, start + size) if start + size <= len(data) else None
 
 
+class _Fields:
+    """Big-endian fields of a binary container, read one after the other; a field beyond the end raises ValueError."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
+
+    def take(self, n: int) -> bytes:
+        if n < 0 or self.at + n > len(self.data):
+            raise ValueError("beyond the end")
+        self.at += n
+        return self.data[self.at - n : self.at]
+
+    def number(self, n: int) -> int:
+        return int.from_bytes(self.take(n), "big")
+
+    def counted(self, n: int) -> bytes:
+        """A field whose length stands before it in n bytes."""
+        return self.take(self.number(n))
+
+
+def _openssh(f: _Fields) -> str | None:
+    """Magic, cipher, key derivation and its options, count, public keys, then the private section."""
+    f.take(15)
+    cipher, kdf, _ = f.counted(4), f.counted(4), f.counted(4)
+    keys = f.number(4)
+    for _ in range(keys):
+        f.counted(4)
+    return "openssh" if keys and cipher == kdf == b"none" and len(f.counted(4)) >= 8 else None
+
+
+def _jks(f: _Fields) -> str | None:
+    """Magic, version, count, then entries of tag, alias and date.
+
+    A store whose entries are all certificates (tag 2) is none; one that ends
+    or breaks before that is shown is held for one with a key.
+    """
+    f.take(4)
+    version, count = f.number(4), f.number(4)
+    for _ in range(count):
+        tag = f.number(4)
+        f.counted(2), f.take(8)
+        if tag != 2:
+            return "jks"
+        if version == 2:
+            f.counted(2)
+        f.counted(4)
+    return None
+
+
+def _putty(text: str) -> str | None:
+    """Header lines of name and value; the private part has as many lines of base64 as its header says."""
+    lines = text.replace("\r", "").split("\n")
+    head = {k.strip(): v.strip() for k, c, v in (x.partition(":") for x in lines) if c}
+    if head.get("Encryption") != "none" or not head.get("Private-Lines", "").isdigit():
+        return None
+    at = next(i for i, x in enumerate(lines) if x.startswith("Private-Lines:"))
+    body = lines[at + 1 : at + 1 + int(head["Private-Lines"])]
+    return "putty" if body and all(re.fullmatch(r"[A-Za-z0-9+/=]+", x) for x in body) else None
+
+
+#: Object ids of the contents of a PKCS#12 file, in DER (fixed values).
+_DATA_OID, _ENCRYPTED_OID = bytes.fromhex("2a864886f70d010701"), bytes.fromhex("2a864886f70d010706")
+_KEY_BAGS = (bytes.fromhex("2a864886f70d010c0a0101"), bytes.fromhex("2a864886f70d010c0a0102"))
+
+
+def _children(data: bytes, lo: int, hi: int) -> list[tuple[int, int, int]]:
+    out = []
+    while lo < hi and (e := _der(data, lo)) and e[2] <= hi:
+        out.append(e)
+        lo = e[2]
+    return out
+
+
+def _oids(data: bytes, lo: int, hi: int) -> Iterator[bytes]:
+    """The object ids of a DER range, those inside octet strings of DER included."""
+    left = [(lo, hi)]
+    while left:
+        lo, hi = left.pop()
+        for tag, a, b in _children(data, lo, hi):
+            if tag == 0x06:
+                yield data[a:b]
+            elif tag & 0x20 or tag == 0x04:
+                left.append((a, b))
+
+
+def _pkcs12(data: bytes, auth: tuple[int, int, int]) -> str | None:
+    """The safe's content type, then its bags: a key bag in the open, or an encrypted safe that may hold one.
+
+    Only a safe whose bags are readable and hold no key is none.
+    """
+    parts = _children(data, auth[1], auth[2])
+    if len(parts) < 2 or data[parts[0][1] : parts[0][2]] != _DATA_OID:
+        return "pkcs12"
+    found = set(_oids(data, parts[1][1], parts[1][2]))
+    return "pkcs12" if found & {*_KEY_BAGS, _ENCRYPTED_OID} else None
+
+
 def key_container(data: bytes) -> str | None:
     """The kind of private key container that the bytes are, None for anything else.
 
-    PKCS#1, PKCS#8, SEC 1 and PKCS#12 in DER, and the two formats with a magic
-    that name their own fields.  Encrypted containers, public keys and
-    certificates are none.
+    OpenSSH, JKS and PuTTY files by their fields; PKCS#1, PKCS#8, SEC 1 and
+    PKCS#12 by their DER elements.  Encrypted keys, public keys, certificates,
+    and stores that hold only certificates are none.
     """
-    if data.startswith(b"openssh-key-v1\0"):
-        size = int.from_bytes(data[15:19], "big")
-        return "openssh" if data[19 : 19 + size] == b"none" else None
+    try:
+        if data.startswith(b"openssh-key-v1\0"):
+            return _openssh(_Fields(data))
+        if data.startswith(b"PuTTY-User-Key-File-"):
+            return _putty(data.decode("latin-1"))
+    except ValueError:
+        return None
     if data[:4] == b"\xfe\xed\xfe\xed":
-        return "jks"
-    if data[:3] == b"PuT" and b"Encryption: none" in data:
-        return "putty"
+        try:
+            return _jks(_Fields(data))
+        except ValueError:
+            return "jks"
     top = _der(data)
     if not top or top[0] != 0x30 or len(data) - top[2] > 2:
         return None
     first = _der(data, top[1])
-    if not first or first[0] != 0x02 or first[2] - first[1] > 1:
+    if not first or first[0] != 0x02 or first[2] - first[1] > 1 or first[2] == first[1]:
         return None
     version = data[first[1]]
     second = _der(data, first[2])
     if not second or second[2] > top[2]:
         return None
     if version == 3 and second[0] == 0x30:
-        return "pkcs12"
+        return _pkcs12(data, second)
     if version == 1 and second[0] == 0x04 and second[2] - second[1] >= 16:
         return "sec1"
     if version in (0, 1) and second[0] == 0x30:
@@ -322,6 +440,26 @@ def _literals(text: str) -> Iterator[tuple[int, int]]:
         yield m.span(2 if m.group(2) else 3)
 
 
+def _blocks(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Spans of the lines of each encoding that stands on several lines, and of pieces that are added up."""
+    for m in _BLOCK.finditer(text):
+        spans = []
+        for line in re.finditer(r"[^\n]+", m.group()):
+            if run := max(_RUN.finditer(line.group()), key=lambda r: len(r.group()), default=None):
+                spans.append((m.start() + line.start() + run.start(), m.start() + line.start() + run.end()))
+        head = _BLOCK_HEAD.search(text, text.rfind("\n", 0, max(m.start() - 1, 0)) + 1, m.start())
+        if head:
+            spans.insert(0, head.span(1))
+        # The last line may belong to what follows.
+        yield spans
+        if len(spans) > 2:
+            yield spans[:-1]
+    for m in _PIECES.finditer(text):
+        parts = [p.span(2) for p in _PIECE.finditer(text, m.start(), m.end())]
+        if len(parts) > 1 and sum(hi - lo for lo, hi in parts) >= 16:
+            yield parts
+
+
 def _open_hits(text: str, config: bool) -> list[Hit]:
     """The secrets of a text that stand in it as they are."""
     hits: list[Hit] = []
@@ -385,7 +523,7 @@ def _open_hits(text: str, config: bool) -> list[Hit]:
         if not spans:
             continue
         value = "".join(text[lo:hi] for lo, hi in spans)
-        if usable(value) and not HEADER.match(value):
+        if usable(value) and not HEADER.match(value) or phrase(name, value):
             for lo, hi in spans:
                 add(lo, hi, "named", spans[0][0])
     for m in _FLAG.finditer(text) if "-" in text else ():
@@ -414,12 +552,22 @@ def scan(text: str, config: bool) -> list[Hit]:
     for lo, hi in _literals(text):
         if kind := _inside(text[lo:hi]):
             hits.append(Hit(lo, hi, f"encoded_{kind}", lo))
-    hits.sort(key=lambda h: (h.start, -h.end))
+    for spans in _blocks(text):
+        joined = "".join(text[lo:hi] for lo, hi in spans)
+        if kind := _inside(joined):
+            hits += [Hit(lo, hi, f"encoded_{kind}", spans[0][0]) for lo, hi in spans]
+    return _joined(hits)
+
+
+def _joined(hits: list[Hit]) -> list[Hit]:
+    """The hits in order; those that overlap are one, reported where the first is."""
     out: list[Hit] = []
-    for h in hits:
+    for h in sorted(hits, key=lambda h: (h.start, -h.end)):
         if out and h.start < out[-1].end:
-            continue
-        out.append(h)
+            if h.end > out[-1].end:
+                out[-1] = Hit(out[-1].start, h.end, out[-1].kind, out[-1].at)
+        else:
+            out.append(h)
     return out
 
 
@@ -459,13 +607,7 @@ def redact(text: str | None, path: str | None, mask: str = MASK) -> str | None:
 
 def path_spans(path: str) -> list[Hit]:
     """Secrets of a path in order; those that overlap are one."""
-    out: list[Hit] = []
-    for h in sorted(scan_path(path), key=lambda h: (h.start, -h.end)):
-        if out and h.start < out[-1].end:
-            out[-1] = Hit(out[-1].start, max(out[-1].end, h.end), out[-1].kind, 0)
-        else:
-            out.append(h)
-    return out
+    return _joined(scan_path(path))
 
 
 def redact_path(path: str | None, mask: str = MASK) -> str | None:

@@ -99,3 +99,48 @@ def test_redacted_query_covers_the_path(spark, tmp_path):
         "1": ("export/access_token=REDACTED/a.yaml", "x: 1", 1), "2": ("a/token=REDACTED/b.env", "K=REDACTED\n", 2),
         "3": ("deploy/oauth2:REDACTED@host/x", None, 1), "4": ("a.env", "K=REDACTED\n", 1),
     }
+
+
+def _lines_of_base64(data, width=64):
+    text = base64.b64encode(data).decode()
+    return [text[i : i + width] for i in range(0, len(text), width)]
+
+
+PKCS8 = _der(0x30, _der(2, b"\0"), _der(0x30, _der(6, b"\x2a\x03")), _der(4, bytes(range(200))))
+
+
+@pytest.mark.parametrize("text", [
+    "key: |\n" + "\n".join("  " + x for x in _lines_of_base64(PKCS8)) + "\nnext: 1\n", "K = (\n" + "\n".join(f'    "{x}"' for x in _lines_of_base64(PKCS8)) + "\n)\n",
+    "# old\n" + "\n".join("# " + x for x in _lines_of_base64(PKCS8)) + "\n# end\n",
+])
+def test_encodings_over_several_lines(text):
+    assert _lines(text, "a.yaml") == [2]
+    assert not any(x in S.redact(text, "a.yaml") for x in _lines_of_base64(PKCS8))
+
+
+def test_first_line_behind_its_quote():
+    text = 'K = """' + "\n".join(_lines_of_base64(PKCS8)) + '"""\nprint(1)\n'
+    assert _lines(text) == [1] and S.redact(text, "a.py").endswith('REDACTED"""\nprint(1)\n')
+
+
+def test_stores_by_their_fields():
+    entry = lambda tag, body: tag.to_bytes(4, "big") + b"\0\1a" + bytes(8) + body
+    cert = b"\0\5X.509" + (9).to_bytes(4, "big") + b"c" * 9
+    head = b"\xfe\xed\xfe\xed\0\0\0\2"
+    assert S.key_container(head + b"\0\0\0\1" + entry(2, cert)) is None
+    assert S.key_container(head + b"\0\0\0\2" + entry(2, cert) + entry(1, (40).to_bytes(4, "big") + b"k" * 40)) == "jks"
+    safe = lambda oid: _der(0x30, _der(2, b"\3"), _der(0x30, _der(6, bytes.fromhex("2a864886f70d010701")), _der(0xA0, _der(4, _der(0x30, _der(0x30, _der(6, bytes.fromhex(oid)), _der(0xA0, b"x" * 40)))))))
+    assert S.key_container(safe("2a864886f70d010c0a0102")) == "pkcs12" and S.key_container(safe("2a864886f70d010c0a0103")) is None
+    putty = lambda n: f"PuTTY-User-Key-File-2: ssh-rsa\nEncryption: {n}\nComment: x\nPublic-Lines: 1\nAAAA\nPrivate-Lines: 1\nAAAAgQ==\nPrivate-MAC: 00\n".encode()
+    assert S.key_container(putty("none")) == "putty" and S.key_container(putty("aes256-cbc")) is None
+    assert S.key_container(b"openssh-key-v1\0\0\0\0\4none") is None
+
+
+def test_pass_phrases():
+    assert _lines('passphrase = "correct horse battery staple"') == [1]
+    assert _lines('password = "enter your new password"') == [] and _lines('title = "correct horse battery staple"') == []
+
+
+def test_overlapping_spans_are_one():
+    text = f'url = "https://u:{TOKEN}-tail9@h/x"'
+    assert "tail9" not in S.redact(text, "a.py") and S.redact(text, "a.py").count("REDACTED") == 1
