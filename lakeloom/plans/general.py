@@ -8,13 +8,16 @@ from lakeloom.operators import hierarchy, orphans
 from lakeloom.sources.tables import table
 
 
+def _references(spark, sf_dir):
+    return orphans.reference_parts(*[table(spark, sf_dir, t) for t in ("chunks", "large_chunks", "notes", "removed_chunks")])
+
+
 def p3_found(spark, sf_dir):
-    parts = orphans.reference_parts(*[table(spark, sf_dir, t) for t in ("chunks", "large_chunks", "notes", "removed_chunks")])
-    return orphans.orphans(parts)
+    return orphans.orphans(_references(spark, sf_dir))
 
 
 def p3_report(spark, sf_dir):
-    return orphans.orphan_report(p3_found(spark, sf_dir))
+    return orphans.orphan_report(_references(spark, sf_dir))
 
 
 def _resolved(spark, sf_dir):

@@ -49,4 +49,24 @@ def test_heavy_key_keeps_all_references(spark):
 
 def test_empty_tables(spark):
     assert _found(_tables(spark)) == set()
-    assert orphans.orphan_report(orphans.orphans(orphans.reference_parts(*_tables(spark)))).count() == 0
+    assert orphans.orphan_report(orphans.reference_parts(*_tables(spark))).count() == 0
+
+
+def test_counts_come_from_groups(spark):
+    """Groups with and without targets, one with a target in the middle of the month, and one without a time."""
+    large = [(f"L{i}", ["b2"], T(2025, 5, 1 + i)) for i in range(-0, 9)] + [(f"M{i}", ["missing", "a1"], T(2025, 2, 1)) for i in range(5)] + [("N", ["a1"], None), ("E", ["b2"], T(2025, 4, 30))]
+    chunks = [*CHUNKS, ("b2", "r", "g", "src/b.py", T(2025, 5, 6), "x")][:2] + [("b2", "r", "g", "src/b.py", T(2025, 5, 4), "x")]
+    tables = _tables(spark, chunks, large)
+    for share in (500, 3, 1):
+        parts = orphans.reference_parts(*tables)
+        rows = {tuple(r) for r in orphans.orphans(parts, share).collect()}
+        got = {(r["source_table"], r["ref_field"], r["period"]): (r["n_orphans"], r["n_sources"]) for r in orphans.orphan_report(parts, share).collect()}
+        assert got == {("large_chunks", "chunk_ids", "2025-05"): (3, 3), ("large_chunks", "chunk_ids", "2025-04"): (1, 1), ("large_chunks", "chunk_ids", "2025-02"): (5, 5), ("large_chunks", "chunk_ids", None): (1, 1)}
+        assert len(rows) == 10
+
+
+def test_popular_name_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "NAME_PART", 2)
+    chunks = [(f"c{i}", "r", "new", f"src/m{i}.rs", T(2025, 1, 1), "x") for i in range(9)]
+    notes = [(f"N{i}", "r", [f"m{i}::new"], None, T(2025, 2, 2)) for i in range(12)]
+    assert {r[1] for r in _found(_tables(spark, chunks, notes=notes))} == {"N9", "N10", "N11"}
