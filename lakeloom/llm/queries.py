@@ -79,12 +79,27 @@ def p8_ids(spark, sf_dir):
     return tokens.encode(spark, table(spark, sf_dir, "documents"))
 
 
+def p8_decoded(spark, sf_dir):
+    """The texts that the ids of p8_ids stand for, through the join with the pieces."""
+    ids = p8_ids(spark, sf_dir)
+    back = tokens.decode(ids, tokens.piece_table(spark)).select("doc_id", F.decode("bytes", "UTF-8").alias("text"))
+    return ids.select("doc_id").join(back, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _mix(spark, sf_dir):
+    return mixing.mixed(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def p9_mix(spark, sf_dir):
-    return mixing.mix(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+    return _mix(spark, sf_dir).drawn.select("doc_id", "source", "n_tokens", "copies")
 
 
 def p9_report(spark, sf_dir):
-    return mixing.mix(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+    return _mix(spark, sf_dir).report
+
+
+def p9_margins(spark, sf_dir):
+    return _mix(spark, sf_dir).margins
 
 
 def p10_found(spark, sf_dir):
@@ -95,11 +110,12 @@ def p10_scores(spark, sf_dir):
     return residue.scored(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_redacted, p4_found, p4_neighbours, p6_found, p6_pairs, p7_found, p7_kinds, p8_ids, p9_mix, p9_report, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_redacted, p4_found, p4_neighbours, p6_found, p6_pairs, p7_found, p7_kinds, p8_ids, p8_decoded, p9_mix, p9_report, p9_margins, p10_found, p10_scores)}
 
 SQL: dict[str, str] = {
     "p1_found": """
 SELECT DISTINCT source_table, id FROM (
   SELECT 'chunks' AS source_table, id, content FROM chunks UNION ALL SELECT 'large_chunks', id, content FROM large_chunks)
 WHERE strlen(content) > 5120""",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -25,17 +25,71 @@ TOKENIZERS = os.environ.get("LAKELOOM_TOKENIZERS", "/opt/tokenizers")
 
 #: White space as the tokenizer's pattern understands it (fixed values).
 SPACE = r"\t-\r \x85\xA0  -     　"
-#: The tokenizer's word pattern in the JVM's notation (fixed values).
-WORDS = rf"'(?:s|t|re|ve|m|ll|d)| ?+[A-Za-z\p{{L}}]++| ?+[0-9\p{{N}}]++| ?+[^{SPACE}\p{{L}}\p{{N}}]++|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]++"
+#: The tokenizer's word pattern in the JVM's notation (fixed values), with the classes of letters and of numbers left open.
+WORDS = (
+    r"'(?:s|t|re|ve|m|ll|d)| ?+{letters}++| ?+{numbers}++| ?+[^" + SPACE + r"{other}]++|[" + SPACE + r"]+(?![^" + SPACE + r"])|[" + SPACE + r"]++"
+)
 
-#: Bounds of the broadcast part of the word table: words, and bytes of one word.
+#: Bounds of the broadcast part of the word table: words, and bytes of one word.  A word has at most as many ids as
+#: bytes, so the table is below 400,000 x (48 + 4 x 48 + 8) bytes, 100 MB, for a corpus of any size.
 BROADCAST_WORDS = 400_000
 BROADCAST_WORD_BYTES = 48
 
 
-def words(text: Column) -> Column:
+def _ranges(chars: set[str]) -> str:
+    """A set of characters as ranges of a JVM character class."""
+    points, out = sorted(map(ord, chars)), []
+    for p in points:
+        if out and out[-1][1] == p - 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in out)
+
+
+@functools.lru_cache(maxsize=4)
+def _members(kind: str) -> str:
+    """All characters that the tokenizer's own pattern engine counts to a class."""
+    import tiktoken
+
+    every = "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x110000)]))
+    bytes_only = tiktoken.Encoding("bytes", pat_str=kind, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    return bytes(bytes_only.encode_ordinary(every)).decode()
+
+
+_PATTERNS: dict[str, str] = {}
+
+
+def word_pattern(spark: SparkSession) -> str:
+    """The word pattern for this JVM: what its Unicode version knows differently from the tokenizer's is put right.
+
+    One call sends the tokenizer's letters (numbers) to the JVM's matcher, which
+    gives back those it doesn't know; a second finds those that only the JVM
+    knows.  In a JVM of the same Unicode version the classes stay as they are.
+    """
+    jvm = spark._jvm
+    version = jvm.java.lang.System.getProperty("java.version")
+    if version not in _PATTERNS:
+        parts, more, less = {}, "", ""
+        for name, kind, plain in (("letters", r"\p{L}", r"A-Za-z\p{L}"), ("numbers", r"\p{N}", r"0-9\p{N}")):
+            own = _members(kind)
+            unknown = set(jvm.java.util.regex.Pattern.compile(kind).matcher(own).replaceAll(""))
+            others = "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x110000)])).translate(dict.fromkeys(map(ord, own)))
+            beyond = set(jvm.java.util.regex.Pattern.compile(kind.replace("p", "P", 1)).matcher(others).replaceAll(""))
+            add, cut = _ranges(unknown), _ranges(beyond)
+            parts[name] = f"[{plain}{add}]" if not cut else f"[{plain}{add}&&[^{cut}]]"
+            more, less = more + plain + add, less + cut
+        parts["other"] = more
+        pattern = WORDS.replace("{letters}", parts["letters"]).replace("{numbers}", parts["numbers"]).replace("{other}", parts["other"])
+        if less:
+            pattern = pattern.replace(f"[^{SPACE}{more}]", f"(?:[^{SPACE}{more}]|[{less}])")
+        _PATTERNS[version] = pattern
+    return _PATTERNS[version]
+
+
+def words(text: Column, spark: SparkSession | None = None) -> Column:
     """The words of a text in order; together they are the text.  Null gives null."""
-    return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(word_pattern(spark or SparkSession.active())), F.lit(0))
 
 
 @functools.lru_cache(maxsize=4)
@@ -165,8 +219,7 @@ def encode(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
     """(key, ids) of every row; null and empty texts have an empty list.
 
     ``key`` must be unique.  Strings that look like special tokens are ordinary
-    text.  Other columns of ``docs`` play no part.  Letters that the JVM's
-    Unicode version does not know yet are split as signs.
+    text.  Other columns of ``docs`` play no part.
     """
     docs = docs.select(key, text)
     table = word_table(docs, Scratch(spark, "tokens"), text, name, folder)
