@@ -38,10 +38,13 @@ def unique_rows(df: DataFrame, key: str, columns: list[str], latest: str | None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the cluster's, else one of our own."""
+    """The folder for intermediate tables: the cluster's; a temporary one only where all executors are in this process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="lakeloom-"))
         atexit.register(_remove_local)
