@@ -1,23 +1,28 @@
 """Generated, minified, vendored and pasted source files.
 
 Every file becomes a stream of code tokens whose identifiers, numbers and
-strings are masked.  Five-token shingles of it are reduced to MinHash
-signatures; bands of the signature find candidates, which are verified on the
-signatures and linked to clusters.  Clusters tell what a file is:
-
-* a cluster over several repositories whose unmasked text agrees too is copied
-  third-party code;
-* a family within a repository whose members carry a generator's mark is
-  generated, members without the mark included;
-* a cluster of files that are nothing but literals is pasted data.
+strings are masked.  Its five-token shingles, and those of its text as it
+stands, are reduced to MinHash signatures; bands of the signatures find
+candidates, the candidates of a bucket are joined to a forest of the most
+similar pairs, and every pair of the forest is verified on the two shingle sets.
+The verified pairs make clusters, and the clusters' own figures decide:
+
+* copies (the text agrees too) over several repositories, or with a member that
+  lies in a package folder or has the head of a library, are third-party code;
+* a family within a repository, or a cluster of copies, of which at least half
+  is marked as a tool's output is generated, the other half included; likewise
+  families of minified files and of lock files;
+* a family of which at least half is nothing but literals is pasted data.
 
 Marks (a generator's notice in the head of a file, a path by a tool's
-convention, the density of a minifier's output) are verified per file and
-counted per cluster, so a file without a twin is a cluster of one.
+convention, the density of a minifier's output, the share of literals) are taken
+from every file, and only their sums over a cluster decide.  A file without a
+twin is a cluster of one; README tells how many rows those are.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,10 +41,10 @@ PLACES, PLAIN = 192, 96
 #: Bands over repositories join 6 masked and 3 plain places; bands within one repository 8 masked places.
 #: A pair that is 0.8 similar in both shares one of the 32 (24) bands with 99 % (98 %), at 0.9 always.
 BANDS, KIN_BANDS = 32, 24
-#: Shingles that a text needs for a cluster over repositories to mean anything.
+#: Shingles from which equal texts in two repositories are no coincidence.  Shorter files are clustered all the same.
 LEAST_SHINGLES = 24
-#: Rounds in which the centres of a bucket's blocks meet.
-MAX_ROUNDS = 60
+#: What an estimate may be too low by; exact similarities decide.
+SLACK = 0.08
 
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|[^\s\w]")
 #: Words of programming languages that stay as they are (fixed values).
@@ -154,22 +159,29 @@ def signature(sh: np.ndarray, places: int) -> np.ndarray:
     return sig
 
 
-def band_hashes(sig: np.ndarray, plain: np.ndarray, repo: str) -> list[int]:
-    """Bands over all repositories, then bands within the file's own."""
+def band_hashes(sig: np.ndarray, plain: np.ndarray, repo: str) -> tuple[list[int], list[int]]:
+    """Bands over all repositories, and bands within the file's own."""
     a, b = PLACES // BANDS, PLAIN // BANDS
     over = [zlib.crc32(sig[i * a : i * a + a].tobytes() + plain[i * b : i * b + b].tobytes()) | (i << 32) for i in range(BANDS)]
     k, own = PLACES // KIN_BANDS, repo.encode()
-    return over + [zlib.crc32(own + sig[i * k : i * k + k].tobytes()) | ((BANDS + i) << 32) for i in range(KIN_BANDS)]
+    return over, [zlib.crc32(own + sig[i * k : i * k + k].tobytes()) | ((BANDS + i) << 32) for i in range(KIN_BANDS)]
+
+
+def short_set(sh: np.ndarray) -> bytes:
+    """A shingle set as sorted 32-bit hashes."""
+    return np.unique((sh >> np.uint64(16)).astype(np.uint32)).tobytes()
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
 
 
 def marks(path: str, text: str, masked: np.ndarray) -> dict[str, bool]:
     """What a file says of itself."""
     head = _COMMENT_HEAD.match(text)
-    notice = False
-    if head:
-        for line in head.group().split("\n")[:60]:
-            if NOTICE.search(line) and not ABOUT_NOTICE.search(line):
-                notice = True
+    notice = bool(head) and any(NOTICE.search(line) and not ABOUT_NOTICE.search(line) for line in head.group().split("\n"))
     longest = max(map(len, text.split("\n")))
     body = re.sub(r"(?s)^\s*/\*.*?\*/", "", text, count=1).strip()
     blank = (body.count(" ") + body.count("\t") + body.count("\n") + body.count("\r")) / max(1, len(body))
@@ -193,7 +205,7 @@ def marks(path: str, text: str, masked: np.ndarray) -> dict[str, bool]:
 
 
 MARKS = ("notice", "tool_path", "lock", "minified", "blob", "vendored", "library", "document")
-FEATURES = "repo_name string, module_path string, key string, n_shingles int, sig binary, bands array<long>, " + ", ".join(f"{m} boolean" for m in MARKS)
+FEATURES = "repo_name string, module_path string, key string, n_shingles int, digest binary, sig binary, over array<long>, kin array<long>, masked binary, plain binary, " + ", ".join(f"{m} boolean" for m in MARKS)
 
 
 def files(chunks: DataFrame) -> DataFrame:
@@ -214,121 +226,212 @@ def files(chunks: DataFrame) -> DataFrame:
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """Marks, signatures and bands of every file."""
+    """Marks, signatures, bands and shingle sets of every file; a file without a token has no bands."""
+    kinds = {"n_shingles": pa.int32(), "over": pa.list_(pa.int64()), "kin": pa.list_(pa.int64())} | dict.fromkeys(("digest", "sig", "masked", "plain"), pa.binary()) | dict.fromkeys(MARKS, pa.bool_())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: dict[str, list] = {k.strip().split()[0]: [] for k in FEATURES.split(",")}
             for repo, path, text in zip(*(b[c].to_pylist() for c in ("repo_name", "module_path", "content"))):
-                masked = mask(text)
-                sh = shingles(masked)
-                sig = signature(sh, PLACES)
-                big = len(sh) >= LEAST_SHINGLES
-                raw = signature(shingles(plain_codes(text)), PLAIN) if big else sig[:PLAIN]
-                bands = band_hashes(sig, raw, repo) if big else []
-                values = marks(path, text, masked) | {
-                    "repo_name": repo, "module_path": path, "key": f"{repo}\x00{path}", "n_shingles": len(sh),
-                    "sig": np.concatenate([sig, raw]).astype(np.uint8).tobytes(), "bands": bands,
+                codes = mask(text)
+                sh, words = shingles(codes), shingles(plain_codes(text))
+                sig, raw = signature(sh, PLACES), signature(words, PLAIN)
+                over, kin = band_hashes(sig, raw, repo) if len(sh) else ([], [])
+                masked, plain = short_set(sh), short_set(words)
+                # A byte of each place, from bits that don't depend on the place.
+                places = (np.concatenate([sig, raw]) >> np.uint64(40)).astype(np.uint8)
+                values = marks(path, text, codes) | {
+                    "repo_name": repo, "module_path": path, "key": f"{repo}\x00{path}", "n_shingles": len(sh), "digest": hashlib.blake2b(masked + b"|" + plain, digest_size=16).digest(),
+                    "sig": places.tobytes(), "over": over, "kin": kin, "masked": masked, "plain": plain,
                 }
                 for k, v in cols.items():
                     v.append(values[k])
-            kinds = {"n_shingles": pa.int32(), "sig": pa.binary(), "bands": pa.list_(pa.int64())}
-            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.bool_() if k in MARKS else pa.string())) for k, v in cols.items()], list(cols))
+            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.string())) for k, v in cols.items()], list(cols))
 
     return rows.mapInArrow(run, FEATURES)
 
 
 #: Files of one block of a bucket.
 BLOCK = 4096
-LINK = "key string, centre string, same double, plain double, band long, sig binary"
-
+#: Estimated similarities at which the forest of a block grows, and that of a centre to those it stands for.
+LEVELS, STANDS_FOR = (0.98, 0.94, 0.9, 0.86, 0.82, 0.78, SIMILAR - SLACK), 0.9
+LINK = "key string, other string, band long, sig binary"
+
+
+def _estimates(m: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Masked and plain similarity of row i to all rows; bytes of different hashes agree once in 256 times."""
+    same, plain = (m[:, :PLACES] == m[i, :PLACES]).mean(axis=1), (m[:, PLACES:] == m[i, PLACES:]).mean(axis=1)
+    return ((same - 1 / 256) * 256 / 255).astype(np.float32), ((plain - 1 / 256) * 256 / 255).astype(np.float32)
+
+
+def forest(sim: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that join all rows which chains of similar pairs join, the most similar pairs first."""
+    label, out = np.arange(len(sim)), []
+    for least in LEVELS:
+        for i in range(len(sim)):
+            row = sim[i]
+            while True:
+                near = np.where(label != label[i], row, -1.0)
+                j = int(near.argmax())
+                if near[j] < least:
+                    break
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def centres(same: np.ndarray, plain: np.ndarray) -> list[int]:
+    """Rows that stand for all others: every row is about equal to one of them."""
+    left, out = np.arange(len(same)), []
+    while len(left):
+        c = left[0]
+        out.append(int(c))
+        left = left[(np.minimum(same[c], plain[c])[left] < STANDS_FOR) & (left != c)]
+    return out
 
-def _cluster_block(t: pa.Table) -> pa.Table:
-    """Links of a block's files to centres among them, and the centres, which go on to the next round.
 
-    The smallest key without a centre becomes one and takes all files that are
-    similar to it, until every file has or is a centre.
-    """
-    t = t.sort_by("key")
-    keys, sigs = t.column("key").to_pylist(), t.column("sig").to_pylist()
+def _block_links(keys: list[str], sigs: list[bytes], band: int, go_on: bool) -> list[tuple]:
     m = np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(len(keys), PLACES + PLAIN)
-    left = np.arange(len(keys))
-    rows: list[tuple] = []
-    band = t.column("band")[0].as_py()
-    while len(left):
-        c = left[0]
-        # The low bits of two different hashes agree once in 256 times.
-        same = ((m[left, :PLACES] == m[c, :PLACES]).mean(axis=1) - 1 / 256) * 256 / 255
-        plain = ((m[left, PLACES:] == m[c, PLACES:]).mean(axis=1) - 1 / 256) * 256 / 255
-        near = same >= SIMILAR - 0.05
-        near[0] = False
-        rows += [(keys[i], keys[c], float(a), float(b), None, None) for i, a, b in zip(left[near], same[near], plain[near])]
-        rows.append((keys[c], keys[c], 1.0, 1.0, band, sigs[c]))
-        near[0] = True
-        left = left[~near]
-    cols = list(zip(*rows))
-    kinds = (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.binary())
-    return pa.table({f.split()[0]: pa.array(c, k) for f, c, k in zip(LINK.split(", "), cols, kinds)})
-
-
-def links(spark: SparkSession, feats: DataFrame, scratch: Scratch) -> DataFrame:
-    """Verified (key, centre, same, plain) links within the buckets of the bands.
-
-    Files with equal signatures are linked to their smallest key first, and only
-    that one goes on.  A bucket is worked in blocks of bounded size; the centres
-    of its blocks meet in the next round, until a bucket's centres fit one
-    block.  So no bucket is one task's, and none is cut.
+    same, plain = (np.stack(x) for x in zip(*(_estimates(m, i) for i in range(len(keys)))))
+    pairs = set(forest(same)) | set(forest(np.minimum(same, plain)))
+    rows = [(keys[i], keys[j], None, None) for i, j in pairs]
+    if go_on:
+        rows += [(keys[c], keys[c], band, sigs[c]) for c in centres(same, plain)]
+    return rows
+
+
+def _cluster_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the blocks of a sorted partition, and the centres of crowded buckets' blocks."""
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.binary())
+    names = [f.split()[0] for f in LINK.split(", ")]
+
+    def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(np.r_[True, (np.diff(t.column("band").to_numpy()) != 0) | (np.diff(t.column("block").to_numpy()) != 0), True])
+        keys, sigs, bands, blocks = (t.column(c).to_pylist() for c in ("key", "sig", "band", "blocks"))
+        rows: list[tuple] = []
+        for lo, hi in zip(at[:-1], at[1:]):
+            if hi - lo > 1 or blocks[lo] > 1:
+                rows += _block_links(keys[lo:hi], sigs[lo:hi], bands[lo], blocks[lo] > 1)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    rest: pa.Table | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([rest, t]) if rest is not None else t
+        if not t.num_rows:
+            continue
+        # The last block may go on in the next batch.
+        band, block = t.column("band").to_numpy(), t.column("block").to_numpy()
+        cut = int(np.flatnonzero((band != band[-1]) | (block != block[-1]))[-1]) + 1 if ((band != band[-1]) | (block != block[-1])).any() else 0
+        yield from out(t.slice(0, cut)) if cut else ()
+        rest = t.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield from out(rest)
+
+
+def candidates(feats: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, other) pairs of the buckets of the bands.
+
+    A bucket is worked in blocks of bounded size; the centres of its blocks meet
+    in the next round, until a bucket's centres fit one block.  A bucket whose
+    centres don't get fewer is worked by pairs of blocks at last, so every
+    bucket ends, none is one task's, and none is cut.
     """
-    big = feats.where(f"n_shingles >= {LEAST_SHINGLES}")
-    same = big.groupBy("sig").agg(F.min("key").alias("first"))
-    out = [big.join(same, "sig").where("key <> first").select("key", F.col("first").alias("centre"), F.lit(1.0).alias("same"), F.lit(1.0).alias("plain"))]
-    firsts = big.join(same.select(F.col("first").alias("key")), "key", "left_semi")
-    left = firsts.select(F.explode("bands").alias("band"), "key")
+    own = feats.where("n_shingles > 0").groupBy("repo_name", "digest").agg(F.min("key").alias("key"))
+    first = own.groupBy("digest").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("is_first"))
+    rows = scratch.save(feats.select("key", "sig", "over", "kin").join(own.select("key").join(first, "key", "left"), "key"), "firsts")
+    left = rows.where("is_first").select("key", F.explode("over").alias("band")).unionByName(rows.select("key", F.explode("kin").alias("band")))
     shared = left.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    left = left.join(shared.select("band"), "band", "left_semi").join(firsts.select("key", "sig"), "key").select("band", "key", "sig")
-    for round_no in range(MAX_ROUNDS):
-        sizes = left.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        rows = left.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("key", F.lit(round_no)), "blocks"))
-        done = scratch.save(rows.groupBy("band", "block").applyInArrow(_cluster_block, LINK), "links")
-        out.append(done.where("key <> centre").select("key", "centre", "same", "plain"))
-        crowded = sizes.where("blocks > 1").select("band")
-        left = done.where("band is not null").select("band", "key", "sig").join(crowded, "band", "left_semi")
-        if crowded.limit(1).count() == 0:
-            break
-        left = scratch.save(left, "centres")
-    else:
-        raise RuntimeError("buckets did not settle")
-    result = out[0]
-    for o in out[1:]:
-        result = result.unionByName(o)
-    return result
+    left = left.join(shared, "band").join(rows.select("key", "sig"), "key").select("band", "key", "sig", "n")
+    out, before, pairwise = None, None, False
+    round_no = 0
+    while True:
+        left = left.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        block = F.pmod(F.xxhash64("key", F.lit(round_no)), "blocks").cast("int")
+        if pairwise:
+            # Every pair of blocks is a group of its own; a row goes to all that its block is in.
+            other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+            left = left.withColumn("_b", block).withColumn("_o", other).withColumn("block", F.least("_b", "_o") * F.col("blocks") + F.greatest("_b", "_o")).withColumn("blocks", F.lit(1))
+        else:
+            left = left.withColumn("block", block)
+        done = left.select("band", "block", "blocks", "key", "sig").repartition("band", "block").sortWithinPartitions("band", "block", "key").mapInArrow(_cluster_blocks, LINK)
+        done = scratch.save(done, "pairs")
+        some = done.where("band is null").select("key", "other")
+        out = some if out is None else out.unionByName(some)
+        again = done.where("band is not null").select("band", "key", "sig").distinct()
+        count = again.count()
+        if count == 0:
+            return out.distinct()
+        # Without a third fewer centres, further rounds would not end soon.
+        pairwise = before is not None and count > before * 2 / 3
+        before, round_no = count, round_no + 1
+        sizes = again.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+        left = scratch.save(again.join(sizes, "band"), "centres")
+
+
+def verified(pairs: DataFrame, feats: DataFrame) -> DataFrame:
+    """(key, other, same, plain) of the pairs whose masked shingle sets are at least ``SIMILAR``."""
+    sets = feats.select("key", "masked", "plain")
+    a = pairs.join(sets.select("key", F.col("masked").alias("m1"), F.col("plain").alias("p1")), "key")
+    both = a.join(sets.select(F.col("key").alias("other"), F.col("masked").alias("m2"), F.col("plain").alias("p2")), "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m1, m2, p1, p2 = (b.column(c).to_pylist() for c in ("m1", "m2", "p1", "p2"))
+            same = np.array([jaccard(x, y) for x, y in zip(m1, m2)])
+            plain = np.array([jaccard(x, y) for x, y in zip(p1, p2)])
+            out = pa.RecordBatch.from_arrays([b.column("key"), b.column("other"), pa.array(same, pa.float64()), pa.array(plain, pa.float64())], ["key", "other", "same", "plain"])
+            yield out.filter(pa.array(same >= SIMILAR))
+
+    return both.select("key", "other", "m1", "m2", "p1", "p2").mapInArrow(run, "key string, other string, same double, plain double")
+
+
+def links(feats: DataFrame, scratch: Scratch) -> DataFrame:
+    """Verified (key, other, same, plain) pairs.
+
+    Files whose sets are equal are linked to the first of their repository, and
+    that one to the first of all; only these go on to the bands.
+    """
+    some = feats.where("n_shingles > 0").select("repo_name", "digest", "key")
+    own = some.groupBy("repo_name", "digest").agg(F.min("key").alias("other"))
+    first = own.groupBy("digest").agg(F.min("other").alias("first"))
+    equal = some.join(own, ["repo_name", "digest"]).where("key <> other").select("key", "other")
+    equal = equal.unionByName(own.join(first, "digest").where("other <> first").select(F.col("other").alias("key"), F.col("first").alias("other")))
+    equal = equal.withColumns({"same": F.lit(1.0), "plain": F.lit(1.0)})
+    return equal.unionByName(verified(candidates(feats, scratch), feats))
+
+
+def _share(c) -> "F.Column":
+    return F.avg(F.when(c, 1.0).otherwise(0.0))
 
 
 def classify(spark: SparkSession, chunks: DataFrame) -> DataFrame:
-    """(repo_name, module_path, kind, cluster) of every file; kind is null for hand-written ones."""
+    """(repo_name, module_path, kind, family, copy, n_kin, n_copies, n_repos) of every file; kind is null for hand-written ones."""
     s = Scratch(spark, "provenance")
     feats = s.save(features(files(chunks)), "features")
-    edges = s.save(links(spark, feats, s), "links")
-    family = components(spark, edges, "key", "centre").withColumnsRenamed({"node": "key", "component": "family"})
-    copies = components(spark, edges.where(F.col("plain") >= SIMILAR - 0.05), "key", "centre").withColumnsRenamed({"node": "key", "component": "copy"})
-    slim = feats.drop("sig", "bands")
+    edges = s.save(links(feats, s), "links")
+    family = components(spark, edges, "key", "other").withColumnsRenamed({"node": "key", "component": "family"})
+    copies = components(spark, edges.where(F.col("plain") >= SIMILAR), "key", "other").withColumnsRenamed({"node": "key", "component": "copy"})
+    slim = feats.select("repo_name", "module_path", "key", "n_shingles", *MARKS)
     slim = slim.join(family, "key", "left").join(copies, "key", "left")
-    slim = slim.withColumns({"family": F.coalesce("family", "key"), "copy": F.coalesce("copy", "key")})
+    slim = s.save(slim.withColumns({"family": F.coalesce("family", "key"), "copy": F.coalesce("copy", "key")}), "files")
     # Evidence of a family within its repository, and of copies over repositories.
-    mark = F.col("notice") | F.col("tool_path")
-    kin = slim.groupBy("repo_name", "family").agg(F.count(F.lit(1)).alias("n_kin"), F.avg(F.when(mark, 1.0).otherwise(0.0)).alias("marked"), F.avg(F.when(F.col("blob"), 1.0).otherwise(0.0)).alias("literal"))
-    over = slim.groupBy("copy").agg(F.countDistinct("repo_name").alias("n_repos"), F.max("vendored").alias("any_vendored"), F.max("library").alias("any_library"))
+    kin = slim.groupBy("repo_name", "family").agg(
+        F.count(F.lit(1)).alias("n_kin"), _share(F.col("notice") | F.col("tool_path")).alias("marked"), _share(F.col("lock")).alias("locks"), _share(F.col("minified")).alias("dense"), _share(F.col("blob")).alias("literal")
+    )
+    over = slim.groupBy("copy").agg(F.count(F.lit(1)).alias("n_copies"), F.countDistinct("repo_name").alias("n_repos"), F.max("vendored").alias("any_vendored"), F.max("library").alias("any_library"), F.max("n_shingles").alias("most"), _share(F.col("notice") | F.col("tool_path")).alias("marked_copies"))
     out = slim.join(kin, ["repo_name", "family"]).join(over, "copy")
+    literal = F.col("literal") >= 0.5
     kind = (
         F.when(F.col("document"), None)
-        .when(F.col("lock"), "lock")
-        .when(F.col("minified"), "minified")
-        .when(F.col("vendored") | ((F.col("n_repos") > 1) & ~F.col("blob") & (F.col("n_shingles") >= LEAST_SHINGLES)), "vendored")
-        .when(F.col("library"), "vendored")
-        .when(mark | ((F.col("n_kin") > 2) & (F.col("marked") >= 0.5)), "generated")
-        .when(F.col("blob"), "blob")
+        .when(F.col("locks") >= 0.5, "lock")
+        .when(F.col("dense") >= 0.5, "minified")
+        .when(F.col("any_vendored") | F.col("any_library") | ((F.col("n_repos") > 1) & ~literal & (F.col("most") >= LEAST_SHINGLES)), "vendored")
+        .when((F.col("marked") >= 0.5) | (F.col("marked_copies") >= 0.5), "generated")
+        .when(literal, "blob")
     )
-    return out.select("repo_name", "module_path", kind.alias("kind"), "family", "copy", "n_kin", "n_repos")
+    return out.select("repo_name", "module_path", kind.alias("kind"), "family", "copy", "n_kin", "n_copies", "n_repos")
 
 
 def found(spark: SparkSession, chunks: DataFrame) -> DataFrame:
