@@ -255,7 +255,7 @@ def features(rows: DataFrame) -> DataFrame:
 BLOCK = 4096
 #: Estimated similarities at which the forest of a block grows, and that of a centre to those it stands for.
 LEVELS, STANDS_FOR = (0.98, 0.94, 0.9, 0.86, 0.82, 0.78, SIMILAR - SLACK), 0.9
-LINK = "key string, other string, band long, sig binary"
+LINK = "rid long, other long, band long, sig binary"
 
 
 def _estimates(m: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +290,7 @@ def centres(same: np.ndarray, plain: np.ndarray) -> list[int]:
     return out
 
 
-def _block_links(keys: list[str], sigs: list[bytes], band: int, go_on: bool) -> list[tuple]:
+def _block_links(keys: list[int], sigs: list[bytes], band: int, go_on: bool) -> list[tuple]:
     m = np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(len(keys), PLACES + PLAIN)
     same, plain = (np.stack(x) for x in zip(*(_estimates(m, i) for i in range(len(keys)))))
     pairs = set(forest(same)) | set(forest(np.minimum(same, plain)))
@@ -302,12 +302,12 @@ def _block_links(keys: list[str], sigs: list[bytes], band: int, go_on: bool) ->
 
 def _cluster_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of the blocks of a sorted partition, and the centres of crowded buckets' blocks."""
-    kinds = (pa.string(), pa.string(), pa.int64(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
     names = [f.split()[0] for f in LINK.split(", ")]
 
     def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(np.r_[True, (np.diff(t.column("band").to_numpy()) != 0) | (np.diff(t.column("block").to_numpy()) != 0), True])
-        keys, sigs, bands, blocks = (t.column(c).to_pylist() for c in ("key", "sig", "band", "blocks"))
+        keys, sigs, bands, blocks = (t.column(c).to_pylist() for c in ("rid", "sig", "band", "blocks"))
         rows: list[tuple] = []
         for lo, hi in zip(at[:-1], at[1:]):
             if hi - lo > 1 or blocks[lo] > 1:
@@ -340,29 +340,32 @@ def candidates(feats: DataFrame, scratch: Scratch) -> DataFrame:
     """
     own = feats.where("n_shingles > 0").groupBy("repo_name", "digest").agg(F.min("key").alias("key"))
     first = own.groupBy("digest").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("is_first"))
-    rows = scratch.save(feats.select("key", "sig", "over", "kin").join(own.select("key").join(first, "key", "left"), "key"), "firsts")
-    left = rows.where("is_first").select("key", F.explode("over").alias("band")).unionByName(rows.select("key", F.explode("kin").alias("band")))
+    rows = feats.select("key", "sig", "over", "kin").join(own.select("key").join(first, "key", "left"), "key")
+    # Files go through the bands by a number; their names come back to the pairs.
+    rows = scratch.save(rows.withColumn("rid", F.monotonically_increasing_id()), "firsts")
+    left = rows.where("is_first").select("rid", F.explode("over").alias("band")).unionByName(rows.select("rid", F.explode("kin").alias("band")))
     shared = left.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    left = left.join(shared, "band").join(rows.select("key", "sig"), "key").select("band", "key", "sig", "n")
+    left = left.join(shared, "band").join(rows.select("rid", "sig"), "rid").select("band", "rid", "sig", "n")
     out, before, pairwise = None, None, False
     round_no = 0
     while True:
         left = left.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        block = F.pmod(F.xxhash64("key", F.lit(round_no)), "blocks").cast("int")
+        block = F.pmod(F.xxhash64("rid", F.lit(round_no)), "blocks").cast("int")
         if pairwise:
             # Every pair of blocks is a group of its own; a row goes to all that its block is in.
             other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
             left = left.withColumn("_b", block).withColumn("_o", other).withColumn("block", F.least("_b", "_o") * F.col("blocks") + F.greatest("_b", "_o")).withColumn("blocks", F.lit(1))
         else:
             left = left.withColumn("block", block)
-        done = left.select("band", "block", "blocks", "key", "sig").repartition("band", "block").sortWithinPartitions("band", "block", "key").mapInArrow(_cluster_blocks, LINK)
+        done = left.select("band", "block", "blocks", "rid", "sig").repartition("band", "block").sortWithinPartitions("band", "block", "rid").mapInArrow(_cluster_blocks, LINK)
         done = scratch.save(done, "pairs")
-        some = done.where("band is null").select("key", "other")
+        some = done.where("band is null").select(F.least("rid", "other").alias("rid"), F.greatest("rid", "other").alias("other"))
         out = some if out is None else out.unionByName(some)
-        again = done.where("band is not null").select("band", "key", "sig").distinct()
+        again = done.where("band is not null").select("band", "rid", "sig").distinct()
         count = again.count()
         if count == 0:
-            return out.distinct()
+            names = rows.select("rid", "key")
+            return out.distinct().join(names, "rid").select("key", F.col("other").alias("rid")).join(names.withColumnRenamed("key", "other"), "rid").select("key", "other")
         # Without a third fewer centres, further rounds would not end soon.
         pairwise = before is not None and count > before * 2 / 3
         before, round_no = count, round_no + 1
