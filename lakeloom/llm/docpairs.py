@@ -1,12 +1,16 @@
 """Functions paired with their documentation.
 
-Source texts are lexed in the JVM and exploded into token rows.  Windows over
-the rows of a text do the rest: running sums number islands of comments, so a
-comment belongs to the header that ends its island; the last header before a
-docstring is carried on to it; cumulative depth (of braces or of indentation)
-pairs a header with the end of its function.  Documentation counts if it says
-something: at least four words that are no part of the function's name, no
-marker, directive, separator, bare tag, pointer, notice or disabled code.
+Source texts are lexed in the JVM and exploded into token rows once.  Windows
+over the rows of a text do the rest: running sums give every token its place,
+its depth of braces and of parentheses; tokens of one depth are cut into
+statements, so a header is a statement of any length that ends with its block,
+its arrow or its sign; running sums over the code number islands of comments, so
+a comment belongs to the header that ends its island; the statement after a
+header may be its docstring.  A function ends where the braces of its block
+close, where a line is indented no deeper, or with its statement.  Documentation
+counts if it says something: at least four words that are no part of the
+function's name, no marker, directive, separator, bare tag, pointer, notice or
+disabled code.
 """
 
 from __future__ import annotations
@@ -18,27 +22,58 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.sources.tables import Scratch
+
 LEAST_WORDS = 4
 
-#: Endings of files whose comments begin with a hash (fixed values).
-HASH_EXT = ("py", "pyi", "sh", "bash", "zsh", "rb", "pl", "r", "tcl", "ex", "exs", "jl", "nim", "coffee")
-#: Endings of files whose blocks stand in braces (fixed values).
-BRACE_EXT = ("rs", "ts", "tsx", "js", "jsx", "mjs", "cjs", "java", "go", "cs", "c", "h", "cc", "cpp", "hpp", "kt", "swift", "scala", "dart", "php", "m")
+#: Ways of writing comments and strings, by a file's ending (fixed values).  Files of other endings go by their
+#: language, else as those with braces.
+HASH_EXT = ("py", "pyi", "pyx", "sh", "bash", "zsh", "fish", "rb", "pl", "pm", "r", "tcl", "ex", "exs", "jl", "nim", "coffee", "cr", "ps1", "mk", "cmake", "gd")
+DASH_EXT = ("lua", "hs", "elm", "sql", "adb", "ads", "vhd", "vhdl")
+#: Single quotes are strings here; elsewhere they hold one character, or begin a lifetime.
+QUOTE_EXT = ("js", "jsx", "mjs", "cjs", "ts", "tsx", "mts", "cts", "vue", "svelte", "php", "dart", "groovy", "gradle", "css", "scss", "less", "html", "htm")
+CHAR_EXT = ("rs", "go", "java", "kt", "kts", "c", "h", "cc", "cpp", "cxx", "hh", "hpp", "cs", "swift", "scala", "m", "mm", "zig", "proto", "d", "v", "sol")
+#: Files of prose, data and settings, which have no functions.
+TEXT_EXT = ("md", "markdown", "rst", "txt", "adoc", "json", "yaml", "yml", "toml", "ini", "cfg", "conf", "env", "lock", "xml", "csv", "tsv", "properties", "config", "tf", "hcl", "log", "po", "svg")
+#: Of the files with hashes, those in which braces hold values and may go over lines.
+BRACES_ARE_VALUES = ("py", "pyi", "pyx", "nim", "jl", "coffee", "gd")
 
 # All repetitions are possessive: the JVM's matcher then needs no stack.
-_STRINGS = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"' + r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+_DOUBLE = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
+_SINGLE = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+_CHAR = r"'(?:[^'\\\n]|\\[^\n][^'\n]{0,8})'"
 _GAP = r"\n[ \t\r\n]*+"
-BRACE_TOKENS = r"(?s)/\*.*?(?:\*/|\z)|//[^\n]*+|" + _STRINGS + r"|`[^`]*+`|" + _GAP + r"|[{}]|[^\n{}" + "\"'`/" + r"]++|[" + "\"'`/" + "]"
-HASH_TOKENS = r'(?s)[rRbBuUfF]{0,2}+(?:""".*?(?:"""|\z)' + r"|'''.*?(?:'''|\z))|#[^\n]*+|" + _STRINGS + "|" + _GAP + r"|[{}]|[^\n{}#" + "\"'" + r"]++|[" + "\"'" + "]"
-
-#: Words before a parenthesis that are no function names (fixed values).
-_CONTROL = "if|for|while|switch|catch|return|else|do|try|match|with|lock|using|foreach|synchronized|when|new|throw|await|super|this|typeof|sizeof|function|fn|func|loop|unless|until|assert|print|defer|go|select|case|in|of|and|or|not"
-_HASH_HEADER = r"^\s*(?:async\s+)?(?:def|function|sub)\s+([A-Za-z_][\w.\-]*)|^\s*([A-Za-z_][\w.\-]*)\s*\(\s*\)\s*$"
-_BRACE_HEADER = (
-    r"\bfn\s+([A-Za-z_]\w*)|\bfunc\s+(?:\([^()]*\)\s*)?([A-Za-z_]\w*)\s*[(\[<]|\bfunction\s*\*?\s+([A-Za-z_$][\w$]*)|\bfun\s+(?:<[^<>]*>\s*)?(?:\w+\.)?([A-Za-z_]\w*)\s*\("
-    r"|\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^()]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=>"
-    rf"|^\s*(?:[\w.<>\[\],?&*:]+\s+)*(?!(?:{_CONTROL})\b)([A-Za-z_$~][\w$]*)\s*(?:<[^<>()]*>)?\s*\([^;=]*(?:=[^;>][^;]*)?\)[^;=]*$"
+_C_COMMENTS = r"(?s)/\*.*?(?:\*/|\z)|//[^\n]*+|"
+_C_REST = r"|`[^`]*+`|" + _GAP + r"|[{}]|;|[^\n{};" + "\"'`/" + r"]++|[" + "\"'`/" + "]"
+LEXERS = {
+    "quote": _C_COMMENTS + _DOUBLE + "|" + _SINGLE + _C_REST,
+    "char": _C_COMMENTS + _DOUBLE + "|" + _CHAR + _C_REST,
+    "hash": r'(?s)[rRbBuUfF]{0,2}+(?:""".*?(?:"""|\z)' + r"|'''.*?(?:'''|\z))|#[^\n]*+|" + _DOUBLE + "|" + _SINGLE + "|" + _GAP + r"|[{}]|[^\n{}#" + "\"'" + r"]++|[" + "\"'" + "]",
+    "dash": r"(?s)--\[\[.*?(?:\]\]|\z)|--[^\n]*+|" + _DOUBLE + "|" + _SINGLE + "|" + _GAP + r"|[{}]|[^\n{}\-" + "\"'" + r"]++|[\-" + "\"'" + "]",
+}
+
+#: Words that begin no type, or stand before a parenthesis without being a function's name (fixed values).
+_CONTROL = "if|for|while|switch|catch|return|else|do|try|match|with|lock|using|foreach|synchronized|when|new|throw|await|super|this|typeof|sizeof|function|fn|func|loop|unless|until|assert|print|defer|go|select|case|in|of|and|or|not|yield|delete|echo|raise|import|from|package|goto|break|continue"
+_NO_TYPE = _CONTROL + "|class|interface|enum|struct|record|object|trait|impl|namespace|module|extends|implements"
+_MODIFIERS = r"(?:(?!(?:" + _NO_TYPE + r")\b)[\w.<>\[\],?&*:@]++(?:\([^()]*\))? )*+"
+_ARROW = r"(?:async ?)?(?:<[^<>]*> ?)?(?:\(.*?\)|[A-Za-z_$][\w$]*) ?(?::[^=]+)?=>"
+#: A function's header by its beginning.
+HASH_HEADER = r"^(?:async )?(?:def|sub|local function|function) ?([A-Za-z_][\w.:\-]*[?!]?)|^([A-Za-z_][\w.\-]*) ?\( ?\)(?: ?\{.*)?$"
+BRACE_HEADER = (
+    r"(?s)^(?:[\w()]+ )*?fn ([A-Za-z_]\w*)|^func (?:\([^()]*\) ?)?([A-Za-z_]\w*) ?[(\[<]|^(?:export )?(?:default )?(?:async )?(?:[\w]+ )*?function ?\*? ?&?([A-Za-z_$][\w$]*)|^(?:[\w@]+ )*?fun (?:<[^<>]*> )?(?:[\w<>?, ]+\.)?([A-Za-z_]\w*) ?\("
+    rf"|^(?:export )?(?:const|let|var) ([A-Za-z_$][\w$]*) ?(?::[^=]+)?= ?(?:{_ARROW}|(?:async )?function)|^(?:(?:public|private|protected|static|readonly) )*([A-Za-z_$#][\w$]*) ?(?::[^=]+)?= ?{_ARROW}"
+    rf"|^{_MODIFIERS}(?!(?:{_CONTROL})\b)([A-Za-z_$~#][\w$]*) ?(?:<[^<>()]*>)? ?\(.*\)[^;=]*\{{$"
+)
+#: Headers that end without a block: by the words before them, by a type after or before them, or by an arrow.
+OPEN_HEADER = (
+    rf"(?s)^(?:[\w()]+ )*?fn ([A-Za-z_]\w*).*;$|^(?:[\w@]+ )*?fun (?:<[^<>]*> )?(?:[\w<>?, ]+\.)?([A-Za-z_]\w*) ?\(.*\)|^{_MODIFIERS}(?!(?:{_CONTROL})\b)([A-Za-z_$][\w$]*) ?(?:<[^<>()]*>)? ?\([^()]*(?:\([^()]*\)[^()]*)*\) ?(?::[^;=]+|throws [^;=]+|const)?;$"
+    rf"|^{_MODIFIERS}(?!(?:{_CONTROL})\b)([A-Za-z_]\w*) ?(?:<[^<>()]*>)? ?\([^()]*\) ?=> ?.*;$"
 )
+_CALL = r"^[\w$.]+ ?(?:<[^<>()]*>)? ?\(.*\) ?;$"
+_ANNOTATION = r"^\s*(?:@[A-Za-z_]|#!?\[|\[[A-Z]\w*[\](,])"
+#: A line that goes on with the statement of the line before: by its beginning, or by that line's end.
+_GOES_ON = r"^\s*(?:\{|\.|\?\.|=>|->|=|:|,|\)|&&|\|\||\+|\?|where\b|throws\b|extends\b|implements\b|override\b|noexcept\b)"
+_NOT_DONE = r"(?:[,(=:.+?&|<]|=>|->|\bwhere)\s*$"
 
 
 def _first_group(text: Column, pattern: str, groups: int) -> Column:
@@ -47,86 +82,154 @@ def _first_group(text: Column, pattern: str, groups: int) -> Column:
     return F.coalesce(*parts)
 
 
-def tokens(chunks: DataFrame) -> DataFrame:
-    """Token rows (id, type, name, braces, pos, token, kind) of functions, methods and files of code.
-
-    kind: C comment, S string, G gap with line ends, { and }, A attribute or
-    decorator, B blank, X other code.  Repeated rows of an id count once; null
-    contents have no tokens.
-    """
+def texts(chunks: DataFrame) -> DataFrame:
+    """(id, type, name, lexer, values, text) of functions, methods and files of code, one row per id; a null content is none."""
     ext = F.lower(F.regexp_extract("module_path", r"\.([A-Za-z0-9]+)$", 1))
     lang = F.coalesce(F.lower("language"), F.lit(""))
-    braces = F.when(ext.isin(*HASH_EXT), False).when(ext.isin(*BRACE_EXT), True).otherwise(~lang.isin("python", "bash", "shell", "ruby", "perl", "r"))
-    rows = chunks.where("id is not null and chunk_type in ('function', 'method', 'file')")
-    rows = rows.where((F.col("chunk_type") != "file") | ext.isin(*HASH_EXT, *BRACE_EXT))
-    rows = rows.select("id", F.struct(F.col("chunk_type").alias("type"), "name", braces.alias("braces"), F.regexp_replace("content", "\r\n", "\n").alias("text")).alias("c"))
-    one = rows.groupBy("id").agg(F.first("c").alias("c")).select("id", "c.*")
-    lexed = F.when(F.col("braces"), F.regexp_extract_all("text", F.lit(BRACE_TOKENS), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(HASH_TOKENS), F.lit(0)))
-    out = one.select("id", "type", "name", "braces", F.posexplode(lexed).alias("pos", "token"))
-    t, head = F.col("token"), F.substring("token", 1, 1)
+    lexer = (
+        F.when(ext.isin(*HASH_EXT), "hash").when(ext.isin(*DASH_EXT), "dash").when(ext.isin(*QUOTE_EXT), "quote").when(ext.isin(*CHAR_EXT), "char")
+        .when(lang.isin("python", "bash", "shell", "ruby", "perl", "r", "elixir", "julia"), "hash").when(lang.isin("lua", "haskell", "sql"), "dash").when(lang.isin("javascript", "typescript", "php", "dart"), "quote").otherwise("char")
+    )
+    values = ext.isin(*BRACES_ARE_VALUES) | (lang == "python")
+    rows = chunks.where("id is not null and content is not null and chunk_type in ('function', 'method', 'file')")
+    rows = rows.where((F.col("chunk_type") != "file") | ~ext.isin(*TEXT_EXT))
+    rows = rows.select("id", F.struct(F.col("chunk_type").alias("type"), "name", lexer.alias("lexer"), values.alias("values"), F.regexp_replace("content", "\r\n", "\n").alias("text")).alias("c"))
+    return rows.groupBy("id").agg(F.first("c").alias("c")).select("id", "c.*")
+
+
+def tokens(one: DataFrame) -> DataFrame:
+    """Token rows (id, type, name, braces, values, pos, token, kind) of the texts; together they are the text.
+
+    kind: C comment, S string, G gap with line ends, { and }, B blank, X other code.
+    """
+    lexed = None
+    for name, pattern in LEXERS.items():
+        found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+        lexed = F.when(F.col("lexer") == name, found) if lexed is None else lexed.when(F.col("lexer") == name, found)
+    out = one.select("id", "type", "name", F.col("lexer").isin("quote", "char").alias("braces"), "values", "lexer", F.posexplode(lexed).alias("pos", "token"))
+    t = F.col("token")
     kind = (
-        F.when(head == "\n", "G")
+        F.when(t.startswith("\n"), "G")
         .when(F.col("braces") & (t.startswith("//") | t.startswith("/*")), "C")
-        .when(~F.col("braces") & (head == "#"), "C")
+        .when((F.col("lexer") == "hash") & t.startswith("#"), "C")
+        .when((F.col("lexer") == "dash") & t.startswith("--"), "C")
         .when(t.isin("{", "}"), t)
-        .when(t.rlike(r"""^[rRbBuUfF]{0,2}["'`].*["'`]$""") | t.rlike("""(?s)^[rRbBuUfF]{0,2}(?:\"\"\"|''')"""), "S")
+        .when(t.rlike(r"""(?s)^[rRbBuUfF]{0,2}["'`].*["'`]$""") | t.rlike("""(?s)^[rRbBuUfF]{0,2}(?:\"\"\"|''')"""), "S")
         .when(t.rlike(r"^\s*$"), "B")
-        .when(t.rlike(r"^\s*(?:@[A-Za-z_]|#!?\[|\[[A-Z]\w*[\](])"), "A")
         .otherwise("X")
     )
-    return out.withColumn("kind", kind)
+    return out.withColumn("kind", kind).drop("lexer")
 
 
-def headers(toks: DataFrame) -> DataFrame:
-    """Token rows with the function name where a function's header begins (``fn``).
+def placed(toks: DataFrame) -> DataFrame:
+    """Token rows with place, statement and island.
 
-    A chunk that is a function has one header, its first code.  In files, a
-    header is code of the form of one; where blocks stand in braces, one must
-    open next.  Every row has the number of its comment island, which ends with
-    code, and with blank lines.
+    at, to: the token's characters in the text.  level: depth of braces that the
+    token stands in.  stmt: number of the statement among those of its level.
+    island: number of the island of comments, which ends with code that is no
+    annotation, and with blank lines.  close: of a brace that opens, the end of
+    its block.
     """
     w = Window.partitionBy("id").orderBy("pos")
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
+    count = lambda c: F.length("token") - F.length(F.replace(F.col("token"), F.lit(c)))
+    code = F.col("kind") == "X"
+    block = F.col("braces") & F.col("kind").isin("{", "}")
+    step = F.when(block, F.when(F.col("kind") == "{", 1).otherwise(-1)).otherwise(0)
+    # Where braces hold values, and where lines end statements, brackets and braces count as parentheses.
+    more = F.when(code & F.col("values"), count("[") - count("]")).when(F.col("values") & (F.col("kind") == "{"), 1).when(F.col("values") & (F.col("kind") == "}"), -1).otherwise(0)
+    parens = F.when(code, count("(") - count(")")).otherwise(0) + more
+    rows = toks.withColumns({"to": F.sum(F.length("token")).over(upto), "depth": F.sum(step).over(upto), "pc": F.sum(parens).over(upto), "parens": parens})
+    opens = block & (F.col("kind") == "{")
+    # A brace that opens is the last of its level, and the first that the tokens of its block see.
+    roles = F.when(opens, F.array(F.struct((F.col("depth") - 1).alias("level"), F.lit(False).alias("inner")), F.struct(F.col("depth").alias("level"), F.lit(True).alias("inner")))).otherwise(F.array(F.struct(F.col("depth").alias("level"), F.lit(False).alias("inner"))))
+    rows = rows.withColumn("r", F.explode(roles)).select(*rows.columns, "r.level", "r.inner")
+    own = Window.partitionBy("id", "level").orderBy("pos")
     solid = F.col("kind").isin("X", "S", "{", "}")
-    gap = (F.col("kind") == "G") & F.col("token").rlike(r"\n[ \t\r]*\n")
-    rows = toks.withColumns({
-        "solid_before": F.coalesce(F.sum(F.when(solid, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "island": F.coalesce(F.sum(F.when(solid | gap, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "next": F.first(F.when(F.col("kind").isin("X", "{", "}", "S"), F.col("kind")), ignorenulls=True).over(w.rowsBetween(1, 5)),
-        "line_start": F.coalesce(F.lag("kind").over(w), F.lit("G")).isin("G", "{", "}", "C", "B"),
+    base = F.coalesce(F.last(F.when(F.col("inner"), F.col("pc")), ignorenulls=True).over(own.rowsBetween(*before)), F.lit(0))
+    rows = rows.withColumn("base", base).withColumn("rel", F.col("pc") - F.col("parens") - F.col("base"))
+    seen = F.when(solid | F.col("inner"), F.struct("pos", "kind", "token", "inner", (F.col("pc") - F.col("base")).alias("rel"), "braces"))
+    rows = rows.withColumns({"prev": F.last(seen, ignorenulls=True).over(own.rowsBetween(*before)), "gap": F.last(F.when(F.col("kind") == "G", F.col("pos")), ignorenulls=True).over(own.rowsBetween(*before))})
+    ended = F.col("braces") & (F.col("prev.inner") | ((F.col("prev.rel") <= 0) & (F.col("prev.kind").isin("{", "}") | (F.col("prev.token") == ";"))))
+    line = (F.col("gap") > F.col("prev.pos")) & (F.col("rel") <= 0)
+    goes_on = F.col("braces") & (F.col("token").rlike(_GOES_ON) | ((F.col("prev.kind") == "X") & F.col("prev.token").rlike(_NOT_DONE)))
+    starts = solid & ~F.col("inner") & (F.col("prev").isNull() | F.coalesce(ended, F.lit(False)) | (F.coalesce(line, F.lit(False)) & ~F.coalesce(goes_on, F.lit(False))))
+    rows = rows.withColumn("starts", starts).withColumns({
+        "stmt": F.sum(F.when(F.col("starts"), 1).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, 0)),
+        "note": F.coalesce(F.last(F.when(F.col("starts"), (F.col("kind") == "X") & F.col("token").rlike(_ANNOTATION)), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)),
     })
-    named = F.when(F.col("braces"), _first_group(F.col("token"), _BRACE_HEADER, 6)).otherwise(_first_group(F.col("token"), _HASH_HEADER, 2))
-    opens = ~F.col("braces") | (F.col("next") == "{")
-    in_file = F.when((F.col("type") == "file") & (F.col("kind") == "X") & F.col("line_start") & opens, named)
-    own = F.when((F.col("type") != "file") & solid & (F.col("solid_before") == 0), F.col("name"))
-    return rows.withColumn("fn", F.coalesce(own, in_file))
-
-
-def documented(chunks: DataFrame) -> DataFrame:
-    """(id, name, pos, doc) of each text that may be a function's documentation.
-
-    pos is the token of the function's header, null for the column ``doc``.
+    # Openings and closings of one level alternate, so the next of an opening is its pair.
+    rows = rows.withColumn("close", F.lead(F.when(block, F.col("to"))).over(Window.partitionBy("id", F.when(block, F.when(F.col("kind") == "{", F.col("depth")).otherwise(F.col("depth") + 1)), "inner").orderBy("pos")))
+    rows = rows.where("not inner")
+    breaks = (solid & (~F.col("note") | F.col("kind").isin("{", "}"))) | ((F.col("kind") == "G") & F.col("token").rlike(r"\n[ \t\r]*\n"))
+    fresh = F.coalesce(F.lag("kind").over(w), F.lit("G")).isin("G", "C") | (F.coalesce(F.lag("kind").over(w), F.lit("G")).isin("B", "{") & F.coalesce(F.lag("kind", 2).over(w), F.lit("G")).isin("G", "{", "C"))
+    indent = F.last(F.when(F.col("kind") == "G", F.length(F.regexp_extract("token", r"\n([ \t]*)$", 1))), ignorenulls=True).over(upto)
+    rows = rows.withColumns({"island": F.coalesce(F.sum(F.when(breaks, 1).otherwise(0)).over(w.rowsBetween(*before)), F.lit(0)), "fresh": fresh, "indent": F.coalesce(indent, F.lit(0))})
+    return rows.select("id", "type", "name", "braces", "pos", "token", "kind", (F.col("to") - F.length("token")).alias("at"), "to", "level", "stmt", "rel", "note", "island", "fresh", "indent", "close")
+
+
+def statements(rows: DataFrame) -> DataFrame:
+    """One row per statement: its first token, text with strings emptied, island, indentation, and its block."""
+    solid = rows.where("kind in ('X', 'S', '{', '}') and stmt > 0")
+    part = F.when(F.col("kind") == "S", F.lit('""')).otherwise(F.col("token"))
+    out = solid.groupBy("id", "type", "name", "braces", "level", "stmt").agg(
+        F.min(F.struct("pos", "at", "island", "indent", "kind", "token")).alias("first"), F.max("to").alias("to"), F.count(F.lit(1)).alias("n"), F.first("note").alias("note"),
+        F.array_sort(F.collect_list(F.struct("pos", part.alias("t")))).alias("parts"), F.max(F.when((F.col("kind") == "{") & (F.col("rel") <= 0) & F.col("braces"), F.struct("pos", "close"))).alias("block"),
+    )
+    text = F.trim(F.regexp_replace(F.array_join(F.transform("parts", lambda x: x["t"]), " "), r"\s+", " "))
+    text = F.regexp_replace(F.regexp_replace(text, r" ?([(),;]) ?", "$1"), r"^(?:@[\w.]+(?:\([^()]*\))? |#!?\[[^\]]*\] ?|\[[A-Z][^\]]*\] ?)+", "")
+    return out.select("id", "type", "name", "braces", "note", F.col("first.pos").alias("pos"), F.col("first.at").alias("at"), "to", F.col("first.island").alias("island"), F.col("first.indent").alias("indent"), F.when((F.col("n") == 1) & (F.col("first.kind") == "S"), F.col("first.token")).alias("string"), text.alias("text"), "block")
+
+
+def functions(stmts: DataFrame) -> DataFrame:
+    """(id, name, pos, at, end, island, docstring) of every function that a text delimits; end null: up to the text's end.
+
+    A chunk that is a function is all code and has one header, its first code.
     """
-    rows = headers(tokens(chunks))
-    island = Window.partitionBy("id", "island").orderBy("pos")
-    before = F.collect_list(F.when(F.col("kind") == "C", F.col("token"))).over(island.rowsBetween(Window.unboundedPreceding, -1))
-    above = rows.withColumn("doc", F.array_join(before, "\n")).where("fn is not null and doc <> ''").select("id", F.col("fn").alias("name"), "pos", "doc")
-    # Docstrings: the first thing after the first line end that follows the header's colon.
+    t = F.col("text")
+    blocked = F.when(F.col("block").isNotNull(), _first_group(t, BRACE_HEADER, 7))
+    arrow = F.when(F.col("block").isNull(), _first_group(t, BRACE_HEADER.rsplit("|^", 1)[0], 6))
+    open_ = F.when(F.col("block").isNull() & ~t.rlike(_CALL), _first_group(t, OPEN_HEADER, 4))
+    named = F.when(F.col("braces"), F.coalesce(blocked, F.when(t.contains("=>"), arrow), open_)).otherwise(_first_group(t, HASH_HEADER, 2))
     w = Window.partitionBy("id").orderBy("pos")
-    colon = (F.col("kind").isin("X", "{", "}")) & F.col("token").rlike(r":\s*$")
-    py = rows.where(~F.col("braces")).withColumns({"ends": F.when(colon & (F.lead("kind").over(w).isin("G", "C")), 1).otherwise(0)})
-    py = py.withColumn("n_ends", F.sum("ends").over(w))
-    py = py.withColumn("open", F.last(F.when(F.col("fn").isNotNull(), F.struct("fn", "pos", (F.col("n_ends") - F.col("ends")).alias("n"))), ignorenulls=True).over(w))
-    # Code since the colon's line: the docstring must be the first.
-    py = py.withColumn("after", F.lag("kind", 1).over(w)).withColumn("colon_at", F.lag("ends", 2).over(w))
-    inside = py.where((F.col("kind") == "S") & (F.col("after") == "G") & (F.col("colon_at") == 1) & (F.col("n_ends") - F.col("open.n") == 1))
-    inside = inside.select("id", F.col("open.fn").alias("name"), F.col("open.pos").alias("pos"), F.col("token").alias("doc"))
-    column = chunks.where("id is not null and chunk_type in ('function', 'method') and length(trim(doc)) > 0").select("id", "name", F.lit(None).cast("int").alias("pos"), "doc")
-    return above.unionByName(inside).unionByName(column).where("name is not null")
+    code = F.sum(F.when(F.col("note"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begun = F.coalesce(F.sum(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Annotations before a function chunk's header belong to it; without any code they are all there is.
+    is_first = (F.coalesce(code, F.lit(0)) == 0) & (~F.col("note") | t.rlike(r"[({]"))
+    fn = F.when(F.col("type") == "file", named).otherwise(F.when(is_first & (begun >= 0), F.col("name")))
+    rows = stmts.withColumns({"fn": fn, "next_string": F.lead("string").over(w)})
+    head = rows.where("fn is not null")
+    # The next line that is indented no deeper ends a function without braces.
+    lines = stmts.where("not braces and type = 'file'").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "indent"))).alias("lines"))
+    head = head.join(lines, "id", "left")
+    stop = F.try_element_at(F.filter("lines", lambda x: (x["at"] > F.col("at")) & (x["indent"] <= F.col("indent"))), F.lit(1))["at"]
+    end = F.when(F.col("type") != "file", None).when(~F.col("braces"), stop).when(F.col("block").isNotNull(), F.col("block.close")).otherwise(F.col("to"))
+    docstring = F.when(~F.col("braces") & t.rlike(":$"), F.col("next_string"))
+    start = F.when(F.col("type") == "file", F.col("at")).otherwise(0)
+    # A function chunk may have one header only, also where the code before it is nothing but annotations.
+    out = head.select("id", "type", F.col("fn").alias("name"), "pos", start.alias("at"), end.cast("long").alias("end"), "island", docstring.alias("docstring"))
+    first = Window.partitionBy("id", F.when(F.col("type") == "file", F.col("pos"))).orderBy(F.desc("pos"))
+    return out.withColumn("_k", F.row_number().over(first)).where("_k = 1 or type = 'file'").drop("_k", "type")
+
+
+def documented(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, name, pos, at, end, doc) of each text that may be a function's documentation.
+
+    pos, at and end are the function's; null where the column ``doc`` of a chunk says it.
+    """
+    fns = functions(statements(rows))
+    comments = rows.where("kind = 'C' and fresh").groupBy("id", "island").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "\n").alias("doc"))
+    above = fns.join(comments, ["id", "island"])
+    cols = ["id", "name", "pos", "at", "end", "doc"]
+    inside = fns.where("docstring is not null").withColumn("doc", F.col("docstring"))
+    column = chunks.where("id is not null and chunk_type in ('function', 'method') and length(trim(doc)) > 0")
+    column = column.select("id", "name", F.lit(None).cast("int").alias("pos"), F.lit(0).cast("long").alias("at"), F.lit(None).cast("long").alias("end"), "doc")
+    return above.select(*cols).unionByName(inside.select(*cols)).unionByName(column).where("name is not null")
 
 
 # --- what a documentation says ---------------------------------------------
 
-_EDGE = re.compile(r"^\s*(?:///?|//!|/\*+!?|\*+/?|#+!?|--|;+|[rRbBuUfF]{0,2}(?:\"\"\"|'''|\"|'))?\s?|\s*(?:\*+/|\"\"\"|'''|(?<=[.\w ])[\"'])\s*$")
+_EDGE = re.compile(r"^\s*(?:///?|//!|/\*+!?|\*+/?|#+!?|--(?:\[\[)?-?|;+|[rRbBuUfF]{0,2}(?:\"\"\"|'''|\"|'))?\s?|\s*(?:\*+/|\"\"\"|'''|(?<=[.\w ])[\"'])\s*$")
 _TAGS = re.compile(r"</?[A-Za-z][^<>]*>")
 #: Lines that describe nothing (fixed values).
 _NOTHING = re.compile(
@@ -180,62 +283,34 @@ def telling(candidates: DataFrame) -> DataFrame:
             keep = [said(d, n) >= LEAST_WORDS for n, d in zip(names, docs)]
             b = b.filter(pa.array(keep, pa.bool_()))
             text = [description(d) for d in b.column("doc").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("name"), b.column("pos"), pa.array(text, pa.string())], ["id", "name", "pos", "description"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("name"), b.column("at"), b.column("end"), pa.array(text, pa.string())], ["id", "name", "at", "end", "description"])
 
-    return candidates.select("id", "name", "pos", "doc").mapInArrow(run, "id string, name string, pos int, description string")
+    return candidates.select("id", "name", "at", "end", "doc").mapInArrow(run, "id string, name string, at long, end long, description string")
 
 
-def found(chunks: DataFrame) -> DataFrame:
-    """Distinct (id, name) of the functions with telling documentation."""
-    return telling(documented(chunks)).select("id", "name").distinct()
-
-
-# --- code of the functions ---------------------------------------------------
+def telling_functions(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts, functions with telling documentation): one row (id, name, at, end, description) per function.
 
+    The tokens are lexed and placed once, into a stored table.
+    """
+    one = texts(chunks)
+    rows = Scratch(chunks.sparkSession, "docpairs").save(placed(tokens(one)), "tokens")
+    docs = telling(documented(rows, chunks))
+    # A function may be documented above and inside; a chunk's own header and its column are one function.
+    return one, docs.groupBy("id", "name", "at").agg(F.max("end").alias("end"), F.max("description").alias("description"))
 
-def bodies(chunks: DataFrame) -> DataFrame:
-    """(id, name, pos, code) of every function that has a header.
 
-    Braces: the block that opens next, up to its pair, by cumulative depth.
-    Indentation: up to the next line that is indented no deeper.  Chunks that
-    are a function are all code.
-    """
-    rows = headers(tokens(chunks))
-    w = Window.partitionBy("id").orderBy("pos")
-    step = F.when(F.col("kind") == "{", 1).when(F.col("kind") == "}", -1).otherwise(0)
-    count = lambda c: F.length("token") - F.length(F.replace(F.col("token"), F.lit(c)))
-    parens = F.when(F.col("kind") == "X", count("(") - count(")")).otherwise(0)
-    rows = rows.withColumns({"depth": F.sum(step).over(w), "parens": F.coalesce(F.sum(parens).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    # Openings and closings of one level alternate, so the next of an opening is its pair.
-    level = F.when(F.col("kind") == "{", F.col("depth")).when(F.col("kind") == "}", F.col("depth") + 1)
-    indent = F.length(F.regexp_extract("token", r"\n([ \t]*)$", 1))
-    deep = F.last(F.when(F.col("kind") == "G", indent), ignorenulls=True).over(w)
-    rows = rows.withColumns({"level": level, "indent": F.coalesce(deep, F.lit(0))})
-    starts = rows.where("fn is not null")
-    pairs = rows.where("level is not null").withColumn("end", F.lead("pos").over(Window.partitionBy("id", "level").orderBy("pos"))).where("kind = '{'")
-    # A block is the function's if it opens outside the parentheses of the header, where defaults may have braces.
-    pairs = pairs.select("id", F.col("pos").alias("open"), "end", F.col("parens").alias("inside"))
-    brace = starts.where("braces and type = 'file'").select("id", "fn", "pos", "parens").join(pairs, "id").where("open > pos and open <= pos + 12 and inside = parens")
-    brace = brace.groupBy("id", "fn", "pos").agg(F.min(F.struct("open", "end")).alias("m")).select("id", "fn", "pos", F.col("m.end").alias("end"))
-    # Lines by level: every line end closes the functions that are indented as deep or deeper.
-    lines = rows.where("not braces and type = 'file' and kind = 'G' and next is not null").select("id", F.col("pos").alias("stop"), indent.alias("at"))
-    ind = starts.where("not braces and type = 'file'").select("id", "fn", "pos", F.coalesce(F.col("indent"), F.lit(0)).alias("base"))
-    ind = ind.join(lines, "id", "left").where("stop is null or (stop > pos and at <= base)").groupBy("id", "fn", "pos").agg((F.min("stop") - 1).alias("end"))
-    missing = starts.where("not braces and type = 'file'").join(ind.select("id", "pos"), ["id", "pos"], "left_anti").select("id", "fn", "pos", F.lit(None).cast("int").alias("end"))
-    whole = starts.where("type <> 'file'").select("id", "fn", "pos", F.lit(None).cast("int").alias("end"))
-    spans = brace.unionByName(ind).unionByName(missing).unionByName(whole)
-    text = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("ts"))
-    size = F.coalesce(F.col("end"), F.size("ts") - 1) - F.col("pos") + 1
-    code = F.array_join(F.transform(F.slice("ts", F.col("pos") + 1, F.greatest(size, F.lit(1))), lambda t: t["token"]), "")
-    return spans.join(text, "id").select("id", F.col("fn").alias("name"), "pos", code.alias("code"))
+def found(chunks: DataFrame) -> DataFrame:
+    """Distinct (id, name) of the functions with telling documentation."""
+    return telling_functions(chunks)[1].select("id", "name").distinct()
 
 
 def pairs(chunks: DataFrame) -> DataFrame:
-    """(id, name, code, description): one row per function with telling documentation."""
-    docs = telling(documented(chunks))
-    code = bodies(chunks)
-    own = docs.where("pos is null").groupBy("id", "name").agg(F.max("description").alias("description"))
-    placed = docs.where("pos is not null").groupBy("id", "name", "pos").agg(F.max("description").alias("description"))
-    first = code.join(placed, ["id", "name", "pos"]).select("id", "name", "code", "description")
-    rest = code.join(own, ["id", "name"]).join(placed.select("id", "name", "pos"), ["id", "name", "pos"], "left_anti").select("id", "name", "code", "description")
-    return first.unionByName(rest)
+    """(id, name, code, description): one row per function with telling documentation.
+
+    The code is cut out of the text by the function's place; a function chunk
+    without content has a null code.
+    """
+    one, docs = telling_functions(chunks)
+    code = F.expr("substring(text, cast(at + 1 as int), cast(coalesce(end, length(text)) - at as int))")
+    return docs.join(one.select("id", "text"), "id", "left").select("id", "name", code.alias("code"), "description")
