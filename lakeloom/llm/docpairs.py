@@ -1,12 +1,12 @@
 """Functions paired with their documentation.
 
-Source texts are lexed in the JVM and exploded into token rows once.  Windows
+Source texts are lexed in the JVM and exploded into token rows.  Windows
 over the rows of a text do the rest: running sums give every token its place,
-its depth of braces and of parentheses; tokens of one depth are cut into
+its depth of braces and of parentheses; the tokens of one depth are cut into
 statements, so a header is a statement of any length that ends with its block,
-its arrow or its sign; running sums over the code number islands of comments, so
-a comment belongs to the header that ends its island; the statement after a
-header may be its docstring.  A function ends where the braces of its block
+its arrow or its sign; running sums over code and blank lines number islands of
+comments, so a comment belongs to the header that ends its island; the statement
+after a header may be its docstring.  A function ends where the braces of its block
 close, where a line is indented no deeper, or with its statement.  Documentation
 counts if it says something: at least four words that are no part of the
 function's name, no marker, directive, separator, bare tag, pointer, notice or
@@ -44,7 +44,7 @@ _SINGLE = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
 _CHAR = r"'(?:[^'\\\n]|\\[^\n][^'\n]{0,8})'"
 _GAP = r"\n[ \t\r\n]*+"
 _C_COMMENTS = r"(?s)/\*.*?(?:\*/|\z)|//[^\n]*+|"
-_C_REST = r"|`[^`]*+`|" + _GAP + r"|[{}]|;|[^\n{};" + "\"'`/" + r"]++|[" + "\"'`/" + "]"
+_C_REST = r"|`[^`]*+`|" + _GAP + r"|[{}]|[^\n{};" + "\"'`/" + r"]*+;|[^\n{};" + "\"'`/" + r"]++|[" + "\"'`/" + "]"
 LEXERS = {
     "quote": _C_COMMENTS + _DOUBLE + "|" + _SINGLE + _C_REST,
     "char": _C_COMMENTS + _DOUBLE + "|" + _CHAR + _C_REST,
@@ -59,18 +59,17 @@ _MODIFIERS = r"(?:(?!(?:" + _NO_TYPE + r")\b)[\w.<>\[\],?&*:@]++(?:\([^()]*\))?
 _ARROW = r"(?:async ?)?(?:<[^<>]*> ?)?(?:\(.*?\)|[A-Za-z_$][\w$]*) ?(?::[^=]+)?=>"
 #: A function's header by its beginning.
 HASH_HEADER = r"^(?:async )?(?:def|sub|local function|function) ?([A-Za-z_][\w.:\-]*[?!]?)|^([A-Za-z_][\w.\-]*) ?\( ?\)(?: ?\{.*)?$"
+_KEYWORD = r"^(?:[\w()]+ )*?fn ([A-Za-z_]\w*)|^func (?:\([^()]*\) ?)?([A-Za-z_]\w*) ?[(\[<]|^(?:export )?(?:default )?(?:async )?(?:[\w]+ )*?function ?\*? ?&?([A-Za-z_$][\w$]*)|^(?:[\w@]+ )*?fun (?:<[^<>]*> )?(?:[\w<>?, ]+\.)?([A-Za-z_]\w*) ?\("
 BRACE_HEADER = (
-    r"(?s)^(?:[\w()]+ )*?fn ([A-Za-z_]\w*)|^func (?:\([^()]*\) ?)?([A-Za-z_]\w*) ?[(\[<]|^(?:export )?(?:default )?(?:async )?(?:[\w]+ )*?function ?\*? ?&?([A-Za-z_$][\w$]*)|^(?:[\w@]+ )*?fun (?:<[^<>]*> )?(?:[\w<>?, ]+\.)?([A-Za-z_]\w*) ?\("
-    rf"|^(?:export )?(?:const|let|var) ([A-Za-z_$][\w$]*) ?(?::[^=]+)?= ?(?:{_ARROW}|(?:async )?function)|^(?:(?:public|private|protected|static|readonly) )*([A-Za-z_$#][\w$]*) ?(?::[^=]+)?= ?{_ARROW}"
+    rf"(?s){_KEYWORD}|^(?:export )?(?:const|let|var) ([A-Za-z_$][\w$]*) ?(?::[^=]+)?= ?(?:{_ARROW}|(?:async )?function)|^(?:(?:public|private|protected|static|readonly) )*([A-Za-z_$#][\w$]*) ?(?::[^=]+)?= ?{_ARROW}"
     rf"|^{_MODIFIERS}(?!(?:{_CONTROL})\b)([A-Za-z_$~#][\w$]*) ?(?:<[^<>()]*>)? ?\(.*\)[^;=]*\{{$"
 )
-#: Headers that end without a block: by the words before them, by a type after or before them, or by an arrow.
-OPEN_HEADER = (
-    rf"(?s)^(?:[\w()]+ )*?fn ([A-Za-z_]\w*).*;$|^(?:[\w@]+ )*?fun (?:<[^<>]*> )?(?:[\w<>?, ]+\.)?([A-Za-z_]\w*) ?\(.*\)|^{_MODIFIERS}(?!(?:{_CONTROL})\b)([A-Za-z_$][\w$]*) ?(?:<[^<>()]*>)? ?\([^()]*(?:\([^()]*\)[^()]*)*\) ?(?::[^;=]+|throws [^;=]+|const)?;$"
-    rf"|^{_MODIFIERS}(?!(?:{_CONTROL})\b)([A-Za-z_]\w*) ?(?:<[^<>()]*>)? ?\([^()]*\) ?=> ?.*;$"
-)
+#: Headers without a block: an arrow, a keyword, a type after or before the name.
+ARROW_HEADER = rf"(?s)^(?:export )?(?:const|let|var) ([A-Za-z_$][\w$]*) ?(?::[^=]+)?= ?{_ARROW}|^{_MODIFIERS}(?!(?:{_CONTROL})\b)([A-Za-z_]\w*) ?(?:<[^<>()]*>)? ?\([^()]*\) ?=>"
+OPEN_HEADER = rf"(?s){_KEYWORD}|^{_MODIFIERS}(?!(?:{_CONTROL})\b)([A-Za-z_$][\w$]*) ?(?:<[^<>()]*>)? ?\([^()]*(?:\([^()]*\)[^()]*)*\) ?(?::[^;=]+|throws [^;=]+|const)?;$"
 _CALL = r"^[\w$.]+ ?(?:<[^<>()]*>)? ?\(.*\) ?;$"
-_ANNOTATION = r"^\s*(?:@[A-Za-z_]|#!?\[|\[[A-Z]\w*[\](,])"
+#: Nothing but annotations, or the beginning of one whose arguments follow.
+_ANNOTATION = r"^\s*(?:@[\w.]+\s*(?:\([^()]*\))?\s*)+$|^\s*@[\w.]+\s*\([^()]*$|^\s*#!?\[[^\]]*\]?\s*$|^\s*\[[A-Z]\w*[^\]]*\]?\s*$"
 #: A line that goes on with the statement of the line before: by its beginning, or by that line's end.
 _GOES_ON = r"^\s*(?:\{|\.|\?\.|=>|->|=|:|,|\)|&&|\|\||\+|\?|where\b|throws\b|extends\b|implements\b|override\b|noexcept\b)"
 _NOT_DONE = r"(?:[,(=:.+?&|<]|=>|->|\bwhere)\s*$"
@@ -83,7 +82,7 @@ def _first_group(text: Column, pattern: str, groups: int) -> Column:
 
 
 def texts(chunks: DataFrame) -> DataFrame:
-    """(id, type, name, lexer, values, text) of functions, methods and files of code, one row per id; a null content is none."""
+    """(id, in_file, name, lexer, values, text) of functions, methods and files of code, one row per id; a null content is none."""
     ext = F.lower(F.regexp_extract("module_path", r"\.([A-Za-z0-9]+)$", 1))
     lang = F.coalesce(F.lower("language"), F.lit(""))
     lexer = (
@@ -91,14 +90,14 @@ def texts(chunks: DataFrame) -> DataFrame:
         .when(lang.isin("python", "bash", "shell", "ruby", "perl", "r", "elixir", "julia"), "hash").when(lang.isin("lua", "haskell", "sql"), "dash").when(lang.isin("javascript", "typescript", "php", "dart"), "quote").otherwise("char")
     )
     values = ext.isin(*BRACES_ARE_VALUES) | (lang == "python")
-    rows = chunks.where("id is not null and content is not null and chunk_type in ('function', 'method', 'file')")
-    rows = rows.where((F.col("chunk_type") != "file") | ~ext.isin(*TEXT_EXT))
-    rows = rows.select("id", F.struct(F.col("chunk_type").alias("type"), "name", lexer.alias("lexer"), values.alias("values"), F.regexp_replace("content", "\r\n", "\n").alias("text")).alias("c"))
+    in_file = F.col("chunk_type") == "file"
+    rows = chunks.where("id is not null and content is not null and chunk_type in ('function', 'method', 'file')").where(~in_file | F.coalesce(~ext.isin(*TEXT_EXT), F.lit(True)))
+    rows = rows.select("id", F.struct(in_file.alias("in_file"), F.when(~in_file, F.col("name")).alias("name"), lexer.alias("lexer"), values.alias("values"), F.regexp_replace("content", "\r\n", "\n").alias("text")).alias("c"))
     return rows.groupBy("id").agg(F.first("c").alias("c")).select("id", "c.*")
 
 
 def tokens(one: DataFrame) -> DataFrame:
-    """Token rows (id, type, name, braces, values, pos, token, kind) of the texts; together they are the text.
+    """Token rows (id, in_file, name, braces, values, pos, token, kind) of the texts; together they are the text.
 
     kind: C comment, S string, G gap with line ends, { and }, B blank, X other code.
     """
@@ -106,125 +105,104 @@ def tokens(one: DataFrame) -> DataFrame:
     for name, pattern in LEXERS.items():
         found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
         lexed = F.when(F.col("lexer") == name, found) if lexed is None else lexed.when(F.col("lexer") == name, found)
-    out = one.select("id", "type", "name", F.col("lexer").isin("quote", "char").alias("braces"), "values", "lexer", F.posexplode(lexed).alias("pos", "token"))
-    t = F.col("token")
+    out = one.select("id", "in_file", "name", F.col("lexer").isin("quote", "char").alias("braces"), "values", "lexer", F.posexplode(lexed).alias("pos", "token"))
+    t, head = F.col("token"), F.substring("token", 1, 1)
     kind = (
-        F.when(t.startswith("\n"), "G")
-        .when(F.col("braces") & (t.startswith("//") | t.startswith("/*")), "C")
-        .when((F.col("lexer") == "hash") & t.startswith("#"), "C")
+        F.when(head == "\n", "G")
+        .when(F.col("braces") & (head == "/") & (t.startswith("//") | t.startswith("/*")), "C")
+        .when((F.col("lexer") == "hash") & (head == "#"), "C")
         .when((F.col("lexer") == "dash") & t.startswith("--"), "C")
         .when(t.isin("{", "}"), t)
-        .when(t.rlike(r"""(?s)^[rRbBuUfF]{0,2}["'`].*["'`]$""") | t.rlike("""(?s)^[rRbBuUfF]{0,2}(?:\"\"\"|''')"""), "S")
-        .when(t.rlike(r"^\s*$"), "B")
+        .when(head.isin(*"rRbBuUfF\"'`") & (t.rlike(r"""(?s)^[rRbBuUfF]{0,2}["'`].*["'`]$""") | t.rlike("""^[rRbBuUfF]{0,2}(?:\"\"\"|''')""")), "S")
+        .when(F.trim(t) == "", "B")
         .otherwise("X")
     )
     return out.withColumn("kind", kind).drop("lexer")
 
 
-def placed(toks: DataFrame) -> DataFrame:
-    """Token rows with place, statement and island.
+def units(toks: DataFrame) -> DataFrame:
+    """One row per statement: text with strings emptied, first token, place, block and the comments above.
 
-    at, to: the token's characters in the text.  level: depth of braces that the
-    token stands in.  stmt: number of the statement among those of its level.
-    island: number of the island of comments, which ends with code that is no
-    annotation, and with blank lines.  close: of a brace that opens, the end of
-    its block.
+    The tokens of one depth of braces are a row of statements; a block is seen
+    there as the brace that closes it.  A statement ends with its block, its
+    sign, or its line, unless the next one goes on with it.  Comments and
+    annotations before a statement are counted to it; the comments that stand
+    above it without code or a blank line in between are its documentation.
     """
-    w = Window.partitionBy("id").orderBy("pos")
-    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
+    w = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     count = lambda c: F.length("token") - F.length(F.replace(F.col("token"), F.lit(c)))
-    code = F.col("kind") == "X"
-    block = F.col("braces") & F.col("kind").isin("{", "}")
-    step = F.when(block, F.when(F.col("kind") == "{", 1).otherwise(-1)).otherwise(0)
-    # Where braces hold values, and where lines end statements, brackets and braces count as parentheses.
-    more = F.when(code & F.col("values"), count("[") - count("]")).when(F.col("values") & (F.col("kind") == "{"), 1).when(F.col("values") & (F.col("kind") == "}"), -1).otherwise(0)
-    parens = F.when(code, count("(") - count(")")).otherwise(0) + more
-    rows = toks.withColumns({"to": F.sum(F.length("token")).over(upto), "depth": F.sum(step).over(upto), "pc": F.sum(parens).over(upto), "parens": parens})
-    opens = block & (F.col("kind") == "{")
-    # A brace that opens is the last of its level, and the first that the tokens of its block see.
-    roles = F.when(opens, F.array(F.struct((F.col("depth") - 1).alias("level"), F.lit(False).alias("inner")), F.struct(F.col("depth").alias("level"), F.lit(True).alias("inner")))).otherwise(F.array(F.struct(F.col("depth").alias("level"), F.lit(False).alias("inner"))))
-    rows = rows.withColumn("r", F.explode(roles)).select(*rows.columns, "r.level", "r.inner")
+    kind, code, values = F.col("kind"), F.col("kind") == "X", F.col("values")
+    block = F.col("braces") & kind.isin("{", "}")
+    step = F.when(block, F.when(kind == "{", 1).otherwise(-1)).otherwise(0)
+    # Where braces hold values, brackets and braces count as parentheses.
+    parens = F.when(code, count("(") - count(")") + F.when(values, count("[") - count("]")).otherwise(0)).when(values & (kind == "{"), 1).when(values & (kind == "}"), -1).otherwise(0)
+    rows = toks.withColumn("parens", parens).withColumns({"to": F.sum(F.length("token")).over(w), "level": F.sum(step).over(w), "pc": F.sum("parens").over(w)})
     own = Window.partitionBy("id", "level").orderBy("pos")
-    solid = F.col("kind").isin("X", "S", "{", "}")
-    base = F.coalesce(F.last(F.when(F.col("inner"), F.col("pc")), ignorenulls=True).over(own.rowsBetween(*before)), F.lit(0))
-    rows = rows.withColumn("base", base).withColumn("rel", F.col("pc") - F.col("parens") - F.col("base"))
-    seen = F.when(solid | F.col("inner"), F.struct("pos", "kind", "token", "inner", (F.col("pc") - F.col("base")).alias("rel"), "braces"))
-    rows = rows.withColumns({"prev": F.last(seen, ignorenulls=True).over(own.rowsBetween(*before)), "gap": F.last(F.when(F.col("kind") == "G", F.col("pos")), ignorenulls=True).over(own.rowsBetween(*before))})
-    ended = F.col("braces") & (F.col("prev.inner") | ((F.col("prev.rel") <= 0) & (F.col("prev.kind").isin("{", "}") | (F.col("prev.token") == ";"))))
-    line = (F.col("gap") > F.col("prev.pos")) & (F.col("rel") <= 0)
-    goes_on = F.col("braces") & (F.col("token").rlike(_GOES_ON) | ((F.col("prev.kind") == "X") & F.col("prev.token").rlike(_NOT_DONE)))
-    starts = solid & ~F.col("inner") & (F.col("prev").isNull() | F.coalesce(ended, F.lit(False)) | (F.coalesce(line, F.lit(False)) & ~F.coalesce(goes_on, F.lit(False))))
-    rows = rows.withColumn("starts", starts).withColumns({
-        "stmt": F.sum(F.when(F.col("starts"), 1).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, 0)),
-        "note": F.coalesce(F.last(F.when(F.col("starts"), (F.col("kind") == "X") & F.col("token").rlike(_ANNOTATION)), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)),
+    before, upto = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(Window.unboundedPreceding, 0)
+    opens, closes = block & (kind == "{"), block & (kind == "}")
+    solid = kind.isin("X", "S", "{", "}") & ~opens
+    base = F.coalesce(F.last(F.when(opens, F.col("pc")), ignorenulls=True).over(before), F.lit(0))
+    rows = rows.withColumns({
+        "rel": F.col("pc") - F.col("parens") - base, "after": F.col("pc") - base, "solid": solid, "opens": opens, "closes": closes, "last_kind": F.lag("kind").over(own), "last_but_one": F.lag("kind", 2).over(own),
+        "gap": F.last(F.when(kind == "G", F.struct("pos", F.length(F.regexp_extract("token", r"\n([ \t]*)$", 1)).alias("indent"))), ignorenulls=True).over(before),
     })
-    # Openings and closings of one level alternate, so the next of an opening is its pair.
-    rows = rows.withColumn("close", F.lead(F.when(block, F.col("to"))).over(Window.partitionBy("id", F.when(block, F.when(F.col("kind") == "{", F.col("depth")).otherwise(F.col("depth") + 1)), "inner").orderBy("pos")))
-    rows = rows.where("not inner")
-    breaks = (solid & (~F.col("note") | F.col("kind").isin("{", "}"))) | ((F.col("kind") == "G") & F.col("token").rlike(r"\n[ \t\r]*\n"))
-    fresh = F.coalesce(F.lag("kind").over(w), F.lit("G")).isin("G", "C") | (F.coalesce(F.lag("kind").over(w), F.lit("G")).isin("B", "{") & F.coalesce(F.lag("kind", 2).over(w), F.lit("G")).isin("G", "{", "C"))
-    indent = F.last(F.when(F.col("kind") == "G", F.length(F.regexp_extract("token", r"\n([ \t]*)$", 1))), ignorenulls=True).over(upto)
-    rows = rows.withColumns({"island": F.coalesce(F.sum(F.when(breaks, 1).otherwise(0)).over(w.rowsBetween(*before)), F.lit(0)), "fresh": fresh, "indent": F.coalesce(indent, F.lit(0))})
-    return rows.select("id", "type", "name", "braces", "pos", "token", "kind", (F.col("to") - F.length("token")).alias("at"), "to", "level", "stmt", "rel", "note", "island", "fresh", "indent", "close")
-
-
-def statements(rows: DataFrame) -> DataFrame:
-    """One row per statement: its first token, text with strings emptied, island, indentation, and its block."""
-    solid = rows.where("kind in ('X', 'S', '{', '}') and stmt > 0")
-    part = F.when(F.col("kind") == "S", F.lit('""')).otherwise(F.col("token"))
-    out = solid.groupBy("id", "type", "name", "braces", "level", "stmt").agg(
-        F.min(F.struct("pos", "at", "island", "indent", "kind", "token")).alias("first"), F.max("to").alias("to"), F.count(F.lit(1)).alias("n"), F.first("note").alias("note"),
-        F.array_sort(F.collect_list(F.struct("pos", part.alias("t")))).alias("parts"), F.max(F.when((F.col("kind") == "{") & (F.col("rel") <= 0) & F.col("braces"), F.struct("pos", "close"))).alias("block"),
-    )
+    done = F.col("opens") | ((F.col("after") <= 0) & F.col("braces") & (F.col("closes") | (code & F.col("token").endswith(";"))))
+    rows = rows.withColumn("prev", F.last(F.when(F.col("solid") | F.col("opens"), F.struct("pos", F.coalesce(done, F.lit(False)).alias("done"), (code & F.col("token").rlike(_NOT_DONE)).alias("open"))), ignorenulls=True).over(before))
+    line = (F.col("gap.pos") > F.col("prev.pos")) & (F.col("rel") <= 0)
+    goes_on = F.col("braces") & (F.col("prev.open") | F.col("closes") | F.col("token").rlike(_GOES_ON))
+    starts = F.col("solid") & (F.col("prev").isNull() | F.coalesce(F.col("prev.done"), F.lit(False)) | (F.coalesce(line, F.lit(False)) & ~F.coalesce(goes_on, F.lit(False))))
+    rows = rows.withColumn("starts", starts)
+    note = F.coalesce(F.last(F.when(F.col("starts"), code & F.col("token").rlike(_ANNOTATION)), ignorenulls=True).over(upto), F.lit(False)) & F.col("solid") & ~F.col("closes")
+    rows = rows.withColumn("note", note)
+    blank = (kind == "G") & F.col("token").rlike(r"\n[ \t\r]*\n")
+    begun = F.sum(F.when(F.col("starts") & ~F.col("note"), 1).otherwise(0)).over(upto)
+    breaks = F.sum(F.when(F.col("opens") | blank | (F.col("solid") & ~F.col("note")), 1).otherwise(0)).over(before)
+    fresh = F.coalesce(F.col("last_kind"), F.lit("G")).isin("G", "C", "{") | ((F.col("last_kind") == "B") & F.coalesce(F.col("last_but_one"), F.lit("G")).isin("G", "C", "{"))
+    rows = rows.withColumns({"unit": begun + F.when((kind == "C") | F.col("note"), 1).otherwise(0), "island": F.coalesce(breaks, F.lit(0)), "comment": (kind == "C") & fresh})
+    rows = rows.where("(solid and not note) or comment")
+    part = F.when(kind == "S", F.lit('""')).when(F.col("closes"), F.lit("{")).otherwise(F.col("token"))
+    main = F.col("solid") & ~F.col("note")
+    out = rows.groupBy("id", "in_file", "name", "braces", "level", "unit").agg(
+        F.min(F.when(main, F.struct("pos", (F.col("to") - F.length("token")).alias("at"), "island", F.coalesce("gap.indent", F.lit(0)).alias("indent"), "kind", F.when(kind == "S", F.col("token")).alias("string")))).alias("first"),
+        F.max(F.when(main, F.struct("pos", "to", ((F.col("after") <= 0) & F.col("closes")).alias("block")))).alias("end"), F.count_if(main).alias("n"),
+        F.array_sort(F.collect_list(F.when(main, F.struct("pos", part.alias("t"))))).alias("parts"), F.array_sort(F.collect_list(F.when(F.col("comment"), F.struct("pos", "island", "token")))).alias("above"),
+    ).where("first is not null")
     text = F.trim(F.regexp_replace(F.array_join(F.transform("parts", lambda x: x["t"]), " "), r"\s+", " "))
     text = F.regexp_replace(F.regexp_replace(text, r" ?([(),;]) ?", "$1"), r"^(?:@[\w.]+(?:\([^()]*\))? |#!?\[[^\]]*\] ?|\[[A-Z][^\]]*\] ?)+", "")
-    return out.select("id", "type", "name", "braces", "note", F.col("first.pos").alias("pos"), F.col("first.at").alias("at"), "to", F.col("first.island").alias("island"), F.col("first.indent").alias("indent"), F.when((F.col("n") == 1) & (F.col("first.kind") == "S"), F.col("first.token")).alias("string"), text.alias("text"), "block")
+    doc = F.array_join(F.transform(F.filter("above", lambda x: x["island"] == F.col("first.island")), lambda x: x["token"]), "\n")
+    return out.select(
+        "id", "in_file", "name", "braces", "level", "unit", F.col("first.pos").alias("pos"), F.col("first.at").alias("at"), F.col("end.to").alias("to"), F.col("end.block").alias("block"), F.col("first.indent").alias("indent"),
+        F.when(F.col("n") == 1, F.col("first.string")).alias("string"), text.alias("text"), F.nullif(doc, F.lit("")).alias("doc"),
+    )
 
 
 def functions(stmts: DataFrame) -> DataFrame:
-    """(id, name, pos, at, end, island, docstring) of every function that a text delimits; end null: up to the text's end.
+    """The statements that are a function's header, as (id, name, in_file, braces, pos, at, end, indent, doc, docstring).
 
-    A chunk that is a function is all code and has one header, its first code.
+    end: the end of a function with braces; null for one that ends by its
+    indentation or with the text.  A chunk that is a function is all code and
+    has one header, its first code.
     """
     t = F.col("text")
-    blocked = F.when(F.col("block").isNotNull(), _first_group(t, BRACE_HEADER, 7))
-    arrow = F.when(F.col("block").isNull(), _first_group(t, BRACE_HEADER.rsplit("|^", 1)[0], 6))
-    open_ = F.when(F.col("block").isNull() & ~t.rlike(_CALL), _first_group(t, OPEN_HEADER, 4))
-    named = F.when(F.col("braces"), F.coalesce(blocked, F.when(t.contains("=>"), arrow), open_)).otherwise(_first_group(t, HASH_HEADER, 2))
-    w = Window.partitionBy("id").orderBy("pos")
-    code = F.sum(F.when(F.col("note"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    begun = F.coalesce(F.sum(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # Annotations before a function chunk's header belong to it; without any code they are all there is.
-    is_first = (F.coalesce(code, F.lit(0)) == 0) & (~F.col("note") | t.rlike(r"[({]"))
-    fn = F.when(F.col("type") == "file", named).otherwise(F.when(is_first & (begun >= 0), F.col("name")))
-    rows = stmts.withColumns({"fn": fn, "next_string": F.lead("string").over(w)})
-    head = rows.where("fn is not null")
-    # The next line that is indented no deeper ends a function without braces.
-    lines = stmts.where("not braces and type = 'file'").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "indent"))).alias("lines"))
-    head = head.join(lines, "id", "left")
-    stop = F.try_element_at(F.filter("lines", lambda x: (x["at"] > F.col("at")) & (x["indent"] <= F.col("indent"))), F.lit(1))["at"]
-    end = F.when(F.col("type") != "file", None).when(~F.col("braces"), stop).when(F.col("block").isNotNull(), F.col("block.close")).otherwise(F.col("to"))
-    docstring = F.when(~F.col("braces") & t.rlike(":$"), F.col("next_string"))
-    start = F.when(F.col("type") == "file", F.col("at")).otherwise(0)
-    # A function chunk may have one header only, also where the code before it is nothing but annotations.
-    out = head.select("id", "type", F.col("fn").alias("name"), "pos", start.alias("at"), end.cast("long").alias("end"), "island", docstring.alias("docstring"))
-    first = Window.partitionBy("id", F.when(F.col("type") == "file", F.col("pos"))).orderBy(F.desc("pos"))
-    return out.withColumn("_k", F.row_number().over(first)).where("_k = 1 or type = 'file'").drop("_k", "type")
-
-
-def documented(rows: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(id, name, pos, at, end, doc) of each text that may be a function's documentation.
-
-    pos, at and end are the function's; null where the column ``doc`` of a chunk says it.
-    """
-    fns = functions(statements(rows))
-    comments = rows.where("kind = 'C' and fresh").groupBy("id", "island").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "\n").alias("doc"))
-    above = fns.join(comments, ["id", "island"])
-    cols = ["id", "name", "pos", "at", "end", "doc"]
-    inside = fns.where("docstring is not null").withColumn("doc", F.col("docstring"))
-    column = chunks.where("id is not null and chunk_type in ('function', 'method') and length(trim(doc)) > 0")
-    column = column.select("id", "name", F.lit(None).cast("int").alias("pos"), F.lit(0).cast("long").alias("at"), F.lit(None).cast("long").alias("end"), "doc")
-    return above.select(*cols).unionByName(inside.select(*cols)).unionByName(column).where("name is not null")
+    blocked = F.when(F.col("block"), _first_group(t, BRACE_HEADER, 7))
+    arrow = F.when(t.contains("=>"), _first_group(t, ARROW_HEADER, 2))
+    open_ = F.when(~t.rlike(_CALL), _first_group(t, OPEN_HEADER, 5))
+    named = F.when(F.col("braces"), F.coalesce(blocked, F.when(~F.col("block"), F.coalesce(arrow, open_)))).otherwise(_first_group(t, HASH_HEADER, 2))
+    fn = F.when(F.col("in_file"), F.when(t.rlike(r"\w"), named)).otherwise(F.when((F.col("level") == 0) & (F.col("unit") == 1), F.col("name")))
+    following = F.lead("string").over(Window.partitionBy("id").orderBy("pos"))
+    docstring = F.when(~F.col("braces") & t.rlike(":$"), following)
+    end = F.when(F.col("in_file") & F.col("braces"), F.col("to"))
+    at = F.when(F.col("in_file"), F.col("at")).otherwise(0)
+    out = stmts.withColumns({"fn": fn, "docstring": docstring}).where("fn is not null")
+    return out.select("id", F.col("fn").alias("name"), "in_file", "braces", "pos", at.cast("long").alias("at"), end.cast("long").alias("end"), "indent", "doc", "docstring")
+
+
+def documented(fns: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, name, at, end, indent, doc) of each text that may be a function's documentation: above, inside, or in the column ``doc``."""
+    both = fns.select("id", "name", "at", "end", F.when(F.col("in_file") & ~F.col("braces"), F.col("indent")).alias("indent"), F.explode(F.array("doc", "docstring")).alias("doc")).where("doc is not null")
+    column = chunks.where("id is not null and name is not null and chunk_type in ('function', 'method') and length(trim(doc)) > 0")
+    column = column.select("id", "name", F.lit(0).cast("long").alias("at"), F.lit(None).cast("long").alias("end"), F.lit(None).cast("int").alias("indent"), "doc")
+    return both.unionByName(column)
 
 
 # --- what a documentation says ---------------------------------------------
@@ -283,34 +261,30 @@ def telling(candidates: DataFrame) -> DataFrame:
             keep = [said(d, n) >= LEAST_WORDS for n, d in zip(names, docs)]
             b = b.filter(pa.array(keep, pa.bool_()))
             text = [description(d) for d in b.column("doc").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("name"), b.column("at"), b.column("end"), pa.array(text, pa.string())], ["id", "name", "at", "end", "description"])
-
-    return candidates.select("id", "name", "at", "end", "doc").mapInArrow(run, "id string, name string, at long, end long, description string")
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "name", "at", "end", "indent")), pa.array(text, pa.string())], ["id", "name", "at", "end", "indent", "description"])
 
-
-def telling_functions(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts, functions with telling documentation): one row (id, name, at, end, description) per function.
-
-    The tokens are lexed and placed once, into a stored table.
-    """
-    one = texts(chunks)
-    rows = Scratch(chunks.sparkSession, "docpairs").save(placed(tokens(one)), "tokens")
-    docs = telling(documented(rows, chunks))
-    # A function may be documented above and inside; a chunk's own header and its column are one function.
-    return one, docs.groupBy("id", "name", "at").agg(F.max("end").alias("end"), F.max("description").alias("description"))
+    return candidates.select("id", "name", "at", "end", "indent", "doc").mapInArrow(run, "id string, name string, at long, end long, indent int, description string")
 
 
 def found(chunks: DataFrame) -> DataFrame:
     """Distinct (id, name) of the functions with telling documentation."""
-    return telling_functions(chunks)[1].select("id", "name").distinct()
+    return telling(documented(functions(units(tokens(texts(chunks)))), chunks)).select("id", "name").distinct()
 
 
 def pairs(chunks: DataFrame) -> DataFrame:
     """(id, name, code, description): one row per function with telling documentation.
 
-    The code is cut out of the text by the function's place; a function chunk
-    without content has a null code.
+    The code is cut out of the text by the function's place.  A function without
+    braces ends before the next statement that is indented no deeper.  A function
+    chunk without content has a null code.
     """
-    one, docs = telling_functions(chunks)
+    one = texts(chunks)
+    stmts = Scratch(chunks.sparkSession, "docpairs").save(units(tokens(one)).drop("above"), "statements")
+    docs = telling(documented(functions(stmts), chunks))
+    # A function may be documented above and inside; a chunk's own header and its column are one function.
+    docs = docs.groupBy("id", "name", "at").agg(F.max("end").alias("end"), F.max("indent").alias("indent"), F.max("description").alias("description"))
+    lines = stmts.where("not braces and in_file").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), "indent"))).alias("lines"))
+    stop = F.try_element_at(F.filter("lines", lambda x: (x["at"] > F.col("at")) & (x["indent"] <= F.col("indent"))), F.lit(1))["at"]
+    docs = docs.join(lines, "id", "left").withColumn("end", F.coalesce("end", stop))
     code = F.expr("substring(text, cast(at + 1 as int), cast(coalesce(end, length(text)) - at as int))")
     return docs.join(one.select("id", "text"), "id", "left").select("id", "name", code.alias("code"), "description")
