@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from lakeloom.sources.tables import Scratch
 
-#: Rows of the sample that the centroids are fitted on, and the most lists.
+#: Rows of the sample that the centroids are fitted on (twice the lists where that is more), and the most lists.
 SAMPLE, MOST_LISTS = 30_000, 65_536
+#: Bytes of stored rows and queries that one task of the search reads, about.
+TASK_BYTES = 48 << 20
 #: Stored rows and queries of one block of a list.
 BLOCK, QUERY_BLOCK = 4096, 16_384
 #: Error bound of an estimate in standard deviations.
@@ -59,20 +61,27 @@ def rotation(d: int) -> np.ndarray:
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
     """(id, vec) of one row per id with a usable vector, and the vectors' width.
 
-    Null ids, null or empty vectors, vectors with null or NaN numbers, all-zero
+    Null ids, null or empty vectors, vectors with null, NaN or infinite numbers, all-zero
     vectors and vectors of another width than the most frequent one are out.
     """
     df = rows.where(F.col(id_col).isNotNull() & (F.size(vec_col) > 0)).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
     width = df.groupBy(F.size("vec").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).limit(1).collect()
     width = width[0]["w"] if width else 0
     df = df.where(F.size("vec") == width)
-    df = df.where(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e30)) & F.exists("vec", lambda x: x != 0))
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    df = df.where(finite & F.exists("vec", lambda x: x != 0))
     return df, width
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     flat = column.flatten() if isinstance(column, pa.ListArray) else pa.array(column).flatten()
-    return _units(flat.to_numpy(zero_copy_only=False).reshape(-1, width))
+    return _units(scaled(flat.to_numpy(zero_copy_only=False).reshape(-1, width)))
+
+
+def scaled(raw: np.ndarray) -> np.ndarray:
+    """The rows in single precision, divided by a power of two so that numbers of any size fit; this loses nothing of single ones."""
+    x = raw.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]).astype(np.float32)
 
 
 def _units(raw: np.ndarray) -> np.ndarray:
@@ -84,8 +93,9 @@ def _units(raw: np.ndarray) -> np.ndarray:
 def fit(df: DataFrame, width: int, n: int) -> np.ndarray:
     """Unit centroids from a sample of at most ``SAMPLE`` rows, chosen by a hash of the id."""
     lists = int(min(MOST_LISTS, max(1, round(2 * n**0.5))))
-    share = min(1.0, SAMPLE / max(n, 1))
-    some = df.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * SAMPLE).select("id", "vec").toArrow()
+    size = max(SAMPLE, 2 * lists)
+    share = min(1.0, size / max(n, 1))
+    some = df.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * size).select("id", "vec").toArrow()
     some = some.combine_chunks().sort_by("id")
     if some.num_rows == 0:
         return np.zeros((1, width), dtype=np.float32)
@@ -116,7 +126,7 @@ def index(spark: SparkSession, df: DataFrame, width: int, field: str, centroids:
         for b in batches:
             if b.num_rows == 0:
                 continue
-            raw = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, width)
+            raw = scaled(b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
             x = _units(raw).astype(np.float32)
             score = x @ c.T
             if probes < len(c):
@@ -227,7 +237,7 @@ def neighbours(spark: SparkSession, fields: dict[str, tuple[DataFrame, str, str]
     cosine go to the smaller id.  A field without usable vectors has no rows.
     """
     scratch = Scratch(spark, "neighbours")
-    plans, saved, copies, centroids, widths = [], [], [], {}, {}
+    plans, saved, copies, centroids, widths, sizes = [], [], [], {}, {}, {}
     for field, (rows, id_col, vec_col) in fields.items():
         df, width = usable(rows, id_col, vec_col)
         if not width:
@@ -247,7 +257,8 @@ def neighbours(spark: SparkSession, fields: dict[str, tuple[DataFrame, str, str]
             more = more if asked is None else more.where(asked)
             copies.append(scratch.save(more.select(F.lit(field).alias("field"), F.col("id").alias("copy"), F.col("like").alias("id")), "copies"))
         df = df.where(F.col("_copy") <= s.k + 1).select("id", "vec", "rid")
-        centroids[field] = fit(df, width, df.count())
+        sizes[field] = df.count()
+        centroids[field] = fit(df, width, sizes[field])
         widths[field] = width
         plans.append(index(spark, df, width, field, centroids[field], max(s.probes, math.ceil(s.share * len(centroids[field])))))
     empty = spark.createDataFrame([], "field string, id string, other string, cosine double, place int")
@@ -265,7 +276,12 @@ def neighbours(spark: SparkSession, fields: dict[str, tuple[DataFrame, str, str]
         if asked is not None and copies is not None:
             queries = queries.unionByName(own.where(~F.coalesce(asked, F.lit(False))).join(copies, ["field", "id"], "left_semi"))
         run = _search_block(width, {f: centroids[f] for f in mine}, s)
-        results.append(_blocks(own, queries).groupBy("field", "list", "part", "share").applyInArrow(run, FOUND))
+        blocks = _blocks(own, queries)
+        # Every stored row comes once, every query once for each list that it visits.
+        asked_share = 1.0 if asked is None else 0.02
+        rows = sum(sizes[f] * (1 + asked_share * max(s.probes, math.ceil(s.share * len(centroids[f])))) for f in mine)
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * (5 * width + 48) / TASK_BYTES))
+        results.append(blocks.repartition(tasks, "field", "list", "part", "share").groupBy("field", "list", "part", "share").applyInArrow(run, FOUND))
     found = functools.reduce(DataFrame.unionByName, results)
     if s.mutual_lists and asked is None:
         found = found.unionByName(found.select("field", F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))

@@ -56,3 +56,12 @@ def test_every_copy_asked_is_answered(spark):
             got.setdefault(r["id"], []).append(r["other"])
         keys = set(ids) if asked is None else {r["id"] for r in df.where(asked).collect()} & set(ids)
         assert got == {k: want[k] for k in keys}
+
+
+def test_numbers_of_any_size(spark):
+    """Vectors are as similar at 1e200 or 1e-200 as at 1; infinite ones are in no pair."""
+    base = [[1.0, 2.0, 3.0, -1.0], [1.0, 2.0, 3.0, -1.001], [-3.0, 1.0, 0.0, 2.0]]
+    rows = [("a", base[0]), ("b", [x * 1e200 for x in base[1]]), ("c", [x * 1e-200 for x in base[2]]), ("d", [x * 1e35 for x in base[0]]), ("e", [float("inf"), 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id string, vec array<double>")
+    found = N.neighbours(spark, {"f": (df, "id", "vec")}, N.Search(k=2, least=0.95))
+    assert {(r["id"], r["other"]) for r in found.collect()} == {("a", "b"), ("a", "d"), ("b", "a"), ("b", "d"), ("d", "a"), ("d", "b")}
