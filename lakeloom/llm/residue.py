@@ -22,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bounds of the training sample: documents looked through for trusted ones, and unlabelled documents.
+#: Sizes of the training sample, drawn by a hash: documents looked through for trusted ones, and unlabelled documents.
 TRUSTED_FROM, UNLABELLED = 20_000, 3_000
+#: Characters of a trusted record at most; longer ones are no short records.
+TRUSTED_CHARS = 1500
 ITERATIONS = 8
 #: Share of unlabelled passages that the model may hold for residue.
 MOST_RESIDUE = 0.25
@@ -62,7 +64,10 @@ TRUSTED = re.compile(
 
 
 def prose(text: str) -> str:
-    """The text without code fences, inline code, quoted lines, tables and underlined headings."""
+    """The text without code fences, inline code, indented code, quoted lines, rules of tables and underlined headings.
+
+    Rows of tables are passages of their cells; items of nested lists stay.
+    """
     if "\r" in text:
         text = text.replace("\r\n", "\n")
     if "```" in text or "~~~" in text:
@@ -72,10 +77,17 @@ def prose(text: str) -> str:
     if "\n===" in text or "\n---" in text:
         text = _SETEXT.sub("", text)
     if "\n>" in text or "\n|" in text or "\n " in text or "\n\t" in text or text[:1] in "> |\t":
-        text = "\n".join(x for x in text.split("\n") if not x.lstrip().startswith((">", "|")) and not x.startswith(("    ", "\t")))
+        text = "\n".join(_cells(x) for x in text.split("\n") if not x.lstrip().startswith(">") and (not x.startswith(("    ", "\t")) or _LIST.match(x)))
     return text
 
 
+def _cells(line: str) -> str:
+    """A row of a table as its cells, one a line; any other line as it is."""
+    if not line.lstrip().startswith("|"):
+        return line
+    return "" if re.fullmatch(r"[\s|:\-]*", line) else "\n".join(c.strip() for c in line.strip().strip("|").split("|"))
+
+
 def passages(text: str) -> list[str]:
     return [p for p in map(str.strip, _CUT.split(prose(text))) if p]
 
@@ -103,6 +115,10 @@ _HEX = re.compile(r"\b(?=[a-fA-F]*\d)[0-9a-fA-F]{8,}\b")
 _PATH = re.compile(r"(?<![\w:])/[\w.\-]+(?:/[\w.\-]+)+")
 
 
+#: Words of sentences that speak of placeholders instead of having one left (fixed values, several languages).
+ABOUT = re.compile(r"(?i)placeholder|template|templat|variable|syntax|interpolat|\brender|escap|\bregex|pattern|literal|mustache|jinja|handlebars|substitut|platzhalter|vorlage|modèle|gabarit|plantilla|marcador|\bprints?\b|\bwrites?\b|\bshows?\b|\bmeans?\b")
+
+
 def is_body(passage: str, n: int) -> bool:
     """Does the passage count as body: no heading, menu, rule or single word?"""
     return n > 1 and not (_HEAD.match(passage) or (n < 12 and _NAV.match(passage)))
@@ -156,7 +172,7 @@ def decide(model: Model, text: str) -> tuple[bool, str, float, int, int]:
     for p in passages(text):
         kinds, n, empty = analyse(p)
         s = model.score(kinds)
-        hole = hole or empty and s > 0
+        hole = hole or empty and (s > 0 or not ABOUT.search(p))
         if n > 1 and is_body(p, n):
             best = max(best, s)
             if s > 0:
@@ -170,11 +186,11 @@ def decide(model: Model, text: str) -> tuple[bool, str, float, int, int]:
 
 
 def train(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    """A model of bounded samples, which are chosen by a hash of the key."""
+    """A model of samples whose sizes don't grow with the corpus, chosen by a hash of the key."""
     docs = docs.where(F.length(F.trim(text)) > 0).select(key, text)
     n = max(1, docs.count())
     draw = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) / (1 << 30)
-    short = docs.where(draw < TRUSTED_FROM / n).where(F.length(text) < 1500).limit(2 * TRUSTED_FROM)
+    short = docs.where(draw < TRUSTED_FROM / n).where(F.length(text) < TRUSTED_CHARS)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,7 +198,7 @@ def train(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["text"])
 
     pos = short.select(F.col(text).alias("text")).mapInArrow(pick, "text string").toArrow().column("text").to_pylist()
-    some = docs.where(draw < UNLABELLED / n).limit(2 * UNLABELLED).select(F.col(text).alias("text")).toArrow().column("text").to_pylist()
+    some = docs.where(draw < UNLABELLED / n).select(F.col(text).alias("text")).toArrow().column("text").to_pylist()
     positive = [p for t in sorted(pos) for p in passages(t) if is_body(p, analyse(p)[1])]
     unlabelled = [p for t in sorted(some) for ps in [passages(t)] if not trusted(ps) for p in ps]
     return fit(positive, unlabelled)

@@ -32,3 +32,14 @@ def test_empty_and_without_positives(spark):
     assert R.scored(spark, df).count() == 0
     df = spark.createDataFrame([(i, _content(i)) for i in range(20)], "doc_id long, text string")
     assert R.scored(spark, df).where("residue").count() == 0
+
+
+def test_holes_in_long_sentences_lists_and_tables(spark):
+    """A placeholder counts by the words around it, wherever in the prose it stands."""
+    rows = [(i, _content(i)) for i in range(120)]
+    rows += [(1000 + i, t) for i, t in enumerate(BAD * 3)] + [(2000 + i, _content(i) + "\n\n" + t) for i, t in enumerate(HOLES * 2)]
+    long = "The relay keeps a counter per window so that the loop can stop early and the worker reads it on each branch, please contact {{ owner }} before you change how the signal reaches the socket and the cache, which waits before it looks again at the ledger and the vector index of the harbor."
+    rows += [(3000, _content(1) + "\n\n" + long), (3001, _content(2) + "\n\n- first\n    - Dear {{ owner }}, ready.\n"), (3002, _content(3) + "\n\n| relay | owner |\n|---|---|\n| cache | Dear {{ owner }}, ready. |\n"), (3003, _content(4) + "\n\n| relay | cache |\n|---|---|\n| 1 | 2 |\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["residue"] for r in R.scored(spark, df.where("doc_id >= 0")).collect()}
+    assert [got[k] for k in (3000, 3001, 3002, 3003)] == [True, True, True, False]
