@@ -15,15 +15,19 @@ def camel_split(c: Column) -> Column:
     return F.regexp_replace(c, r"(?<!^)(?=\p{Lu})", " ")
 
 
-def chunk_tags(name: Column, kind: Column) -> Column:
-    """Sorted distinct lower-case words of a name longer than two bytes, with the type; ten at most."""
+def _some(c: Column, most: int | None) -> Column:
+    return c if most is None else F.slice(c, 1, most)
+
+
+def chunk_tags(name: Column, kind: Column, most: int | None = 10) -> Column:
+    """Sorted distinct lower-case words of a name longer than two bytes, with the type; ``most`` of them, None for all."""
     words = F.filter(F.split(F.lower(camel_split(F.regexp_replace(name, "[_-]", " "))), r"\s+"), lambda w: F.octet_length(w) > 2)
-    return F.slice(F.array_sort(F.array_distinct(F.concat(words, F.array(F.lower(kind))))), 1, 10)
+    return _some(F.array_sort(F.array_distinct(F.concat(words, F.array(F.lower(kind))))), most)
 
 
-def section_tags(content: Column) -> Column:
-    """Identifiers in back-ticks, lower case, in order of appearance; ten at most."""
-    return F.slice(F.array_distinct(F.transform(F.regexp_extract_all(content, F.lit("`([A-Za-z_][A-Za-z0-9_:]*)`"), F.lit(1)), F.lower)), 1, 10)
+def section_tags(content: Column, most: int | None = 10) -> Column:
+    """Identifiers in back-ticks, lower case, in order of appearance; ``most`` of them, None for all."""
+    return _some(F.array_distinct(F.transform(F.regexp_extract_all(content, F.lit("`([A-Za-z_][A-Za-z0-9_:]*)`"), F.lit(1)), F.lower)), most)
 
 
 def skill_name(c: Column) -> Column:
@@ -114,12 +118,15 @@ def entry_point(content: Column, name: Column, language: Column) -> Column:
     )
 
 
+#: File names of manifests, and of files that a program begins with (fixed values).
+MANIFESTS = ("package.json", "cargo.toml", "pyproject.toml", "go.mod", "pom.xml", "build.gradle", "composer.json", "gemfile")
+ENTRIES = ("main.rs", "lib.rs", "main.go", "main.py", "__init__.py", "index.ts", "index.js", "mod.rs", "app.py", "main.ts", "main.java")
+
+
 def file_priority(path: Column) -> Column:
     """1 manifests and markdown, 2 headers, 3 entry files, 4 the rest."""
     b = F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
-    manifests = ("package.json", "cargo.toml", "pyproject.toml", "go.mod", "pom.xml", "build.gradle", "composer.json", "gemfile")
-    entries = ("main.rs", "lib.rs", "main.go", "main.py", "__init__.py", "index.ts", "index.js", "mod.rs", "app.py", "main.ts", "main.java")
-    return F.when(b.isin(*manifests) | b.endswith(".md") | b.endswith(".rst"), 1).when(b.endswith(".h") | b.endswith(".hpp") | b.endswith(".d.ts"), 2).when(b.isin(*entries), 3).otherwise(4)
+    return F.when(b.isin(*MANIFESTS) | b.endswith(".md") | b.endswith(".rst"), 1).when(b.endswith(".h") | b.endswith(".hpp") | b.endswith(".d.ts"), 2).when(b.isin(*ENTRIES), 3).otherwise(4)
 
 
 #: File endings and the extractor that reads them; the first that fits counts (fixed values).
@@ -149,3 +156,9 @@ def url_path(c: Column) -> Column:
 def normal_text(c: Column) -> Column:
     """Lower case with white space squeezed."""
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+
+
+def version_header(c: Column) -> Column:
+    """Struct (major, minor, patch) of a header's defines, null if one of them is missing."""
+    part = [F.nullif(F.regexp_extract(c, rf"(?m)^\s*#\s*define\s+\w*{p}\s+(\d+)", 1), F.lit("")).cast("int") for p in ("MAJOR", "MINOR", "PATCH")]
+    return F.when(part[0].isNotNull() & part[1].isNotNull() & part[2].isNotNull(), F.struct(*[p.alias(n) for p, n in zip(part, ("major", "minor", "patch"))]))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lakeloom.plans import curation, extra, general, graph, lookups, more, retrieval, text
+from lakeloom.plans import contract, curation, extra, general, graph, lookups, more, retrieval, text
 from lakeloom.streaming import events
 
-MODULES = [retrieval, lookups, graph, curation, text, more, extra, events, general]
+MODULES = [retrieval, lookups, graph, curation, text, more, extra, contract, events, general]
 
 
 def queries() -> dict:

@@ -98,12 +98,16 @@ def _(s, d):
 # --- extraction -----------------------------------------------------------------
 
 
-@query("x2_file_priority")
+_BASE = "lower(regexp_extract(path, '([^/]*)$', 1))"
+_PRIORITY = f"CASE WHEN {_BASE} IN {fn.MANIFESTS} OR {_BASE} LIKE '%.md' OR {_BASE} LIKE '%.rst' THEN 1 WHEN {_BASE} LIKE '%.h' OR {_BASE} LIKE '%.hpp' OR {_BASE} LIKE '%.d.ts' THEN 2 WHEN {_BASE} IN {fn.ENTRIES} THEN 3 ELSE 4 END"
+
+
+@query("x2_file_priority", f"WITH {D.MO} SELECT repo_name, path, {_PRIORITY} AS priority FROM mo")
 def _(s, d):
     return D.modules(D.chunks(s, d)).select("repo_name", "path", fn.file_priority(F.col("path")).alias("priority"))
 
 
-@query("x3_extractor")
+@query("x3_extractor", f"WITH {D.MO} SELECT repo_name, path, CASE " + " ".join(f"WHEN ends_with(lower(path), '{e}') THEN '{x}'" for e, x in fn.EXTRACTORS) + " ELSE 'fallback' END AS extractor FROM mo")
 def _(s, d):
     return D.modules(D.chunks(s, d)).select("repo_name", "path", fn.extractor(F.col("path")).alias("extractor"))
 
@@ -133,12 +137,24 @@ def _(s, d):
     return extract.python_chunks(table(s, d, "chunks").where("chunk_type = 'file' and module_path like '%.py'").select("id", "content").distinct())
 
 
-@query("x13_import_edges")
+_IMPORT = extract.IMPORT.replace("'", "''")
+_IM = "(SELECT DISTINCT id, module_path, content FROM chunks WHERE chunk_type = 'file')"
+_TARGET = "coalesce(" + ", ".join(f"nullif(regexp_extract(line, '{_IMPORT}', {i}), '')" for i in range(1, 8)) + ")"
+_IMPORTS = f"im AS (SELECT DISTINCT id, module_path, {_TARGET} AS target FROM (SELECT id, module_path, unnest(regexp_extract_all(content, '{_IMPORT}', 0)) AS line FROM {_IM}) WHERE {_TARGET} IS NOT NULL)"
+
+
+@query("x13_import_edges", f"WITH {_IMPORTS} SELECT * FROM im")
 def _(s, d):
     return extract.imports(table(s, d, "chunks").where("chunk_type = 'file'").select("id", "module_path", "content").distinct())
 
 
-@query("x14_call_edges")
+_CALL = r"(?:[A-Za-z_]\w*(?:\.|::|->))?[A-Za-z_]\w*\s?\("
+_CALL_OF = r"^(?:([A-Za-z_]\w*)(?:\.|::|->))?([A-Za-z_]\w*)\s?\($"
+_CALLS = f"""cl AS (SELECT id, callee, receiver, count(*) AS n FROM (SELECT id, name, regexp_extract(c, '{_CALL_OF}', 2) AS callee, regexp_extract(c, '{_CALL_OF}', 1) AS receiver
+  FROM (SELECT id, name, unnest(regexp_extract_all(content, '{_CALL}')) AS c FROM (SELECT DISTINCT id, name, content FROM chunks WHERE chunk_type IN ('function', 'method')))) WHERE callee NOT IN {extract.NO_CALL} AND callee <> coalesce(name, '') GROUP BY ALL)"""
+
+
+@query("x14_call_edges", f"WITH {_CALLS} SELECT * FROM cl")
 def _(s, d):
     return extract.calls(table(s, d, "chunks").where("chunk_type in ('function', 'method')").select("id", "name", "content").distinct())
 
@@ -157,19 +173,25 @@ def _(s, d):
     return D.sections(s, d).select("doc_id", "position", "depth", F.coalesce(F.min("depth").over(w) < F.col("depth"), F.lit(False)).alias("has_parent"))
 
 
-@query("x22_section_tags")
+_BACK = "list_transform(regexp_extract_all(content, '`([A-Za-z_][A-Za-z0-9_:]*)`', 1), lambda x: lower(x))"
+
+
+@query("x22_section_tags", f"WITH {D.SE}, t AS (SELECT doc_id, position, {_BACK} AS l FROM se) SELECT doc_id, position, list_filter(l, lambda x, i: list_position(l, x) = i)[1:10] AS tags FROM t WHERE len(l) > 0")
 def _(s, d):
     return D.sections(s, d).select("doc_id", "position", fn.section_tags(F.col("content")).alias("tags")).where(F.size("tags") > 0)
 
 
-@query("x23_chunk_tags")
+_SPLIT = r"regexp_replace(regexp_replace(name, '[_-]', ' ', 'g'), '(\p{Lu})', ' \1', 'g')"
+
+
+@query("x23_chunk_tags", f"WITH {D.CH} SELECT id, CASE WHEN name IS NOT NULL AND chunk_type IS NOT NULL THEN list_sort(list_distinct(list_concat(list_filter(string_split_regex(lower({_SPLIT}), '\\s+'), lambda w: strlen(w) > 2), [lower(chunk_type)])))[1:10] END AS tags FROM ch")
 def _(s, d):
     return D.chunks(s, d, ["name", "chunk_type", "ingested_at"]).select("id", fn.chunk_tags(F.col("name"), F.col("chunk_type")).alias("tags"))
 
 
-@query("x24_camel_split", f"WITH {D.CH} SELECT id, trim(regexp_replace(name, '([A-Z])', ' \\1', 'g')) AS words FROM ch WHERE regexp_full_match(name, '[A-Za-z]+')")
+@query("x24_camel_split", f"WITH {D.CH} SELECT id, left(name, 1) || regexp_replace(substr(name, 2), '(\\p{{Lu}})', ' \\1', 'g') AS words FROM ch WHERE name IS NOT NULL")
 def _(s, d):
-    return D.chunks(s, d, ["name", "ingested_at"]).where(F.col("name").rlike("^[A-Za-z]+$")).select("id", fn.camel_split(F.col("name")).alias("words"))
+    return D.chunks(s, d, ["name", "ingested_at"]).where("name is not null").select("id", fn.camel_split(F.col("name")).alias("words"))
 
 
 @query("x25_embed_text", f"WITH {D.CH} SELECT id, concat(repo_name, ' ', module_path, ' ', coalesce(language, ''), ' ', chunk_type, ' ', coalesce(fqn, ''), chr(10), CASE WHEN trim(doc) <> '' THEN left(doc, 500) || chr(10) || coalesce(signature, '') ELSE left(content, 300) END) AS text FROM ch")
@@ -184,7 +206,10 @@ def _(s, d):
     return table(s, d, "sources").select("repo_name", fn.normalize_url(F.coalesce("seed_url", "git_url")).alias("url"))
 
 
-@query("x39_url_title")
+_URL = "coalesce(seed_url, git_url)"
+
+
+@query("x39_url_title", f"SELECT repo_name, coalesce(list_filter(string_split(regexp_replace({_URL}, '^[a-z]+://[^/]*', ''), '/'), lambda p: p <> '')[-1], 'index') AS title, nullif(regexp_extract({_URL}, '(?:^|[/\\-])(v\\d+(?:\\.\\d+)*)(?:$|[/\\-])', 1), '') AS version FROM sources")
 def _(s, d):
     return table(s, d, "sources").select("repo_name", fn.url_title(F.coalesce("seed_url", "git_url")).alias("title"), fn.version_of_url(F.coalesce("seed_url", "git_url")).alias("version"))
 
@@ -199,7 +224,12 @@ def _(s, d):
     return D.jobs(s, d).groupBy("repo").agg(F.round(F.count_if(F.col("status") != "failed") / F.count(F.lit(1)), 6).alias("ratio"))
 
 
-@query("x41_entry_points")
+_ENTRY = r"""CASE WHEN lang = 'rust' AND name = 'main' THEN 'main' WHEN lang = 'rust' AND regexp_matches(content, '#\[(?:tokio::)?test') THEN 'test' WHEN lang = 'rust' AND regexp_matches(content, '#\[(?:get|post|put|delete)\(') THEN 'api_handler'
+  WHEN lang IN ('typescript', 'javascript') AND regexp_matches(content, '\b(?:app|router)\.(?:get|post|put|delete)\(') THEN 'api_handler' WHEN lang IN ('typescript', 'javascript') AND regexp_matches(content, '\.(?:on|addEventListener)\(') THEN 'event_listener'
+  WHEN lang IN ('typescript', 'javascript') AND starts_with(content, 'export default') THEN 'module_entry' WHEN lang = 'python' AND name = 'main' THEN 'main' WHEN lang = 'python' AND starts_with(name, 'test_') THEN 'test' WHEN lang = 'go' AND name = 'main' THEN 'main' END"""
+
+
+@query("x41_entry_points", f"WITH {D.CH}, t AS (SELECT id, {_ENTRY} AS kind FROM (SELECT *, lower(coalesce(language, '')) AS lang FROM ch)) SELECT * FROM t WHERE kind IS NOT NULL")
 def _(s, d):
     ch = D.chunks(s, d, ["name", "content", "language", "ingested_at"])
     return ch.select("id", fn.entry_point(F.col("content"), F.col("name"), F.col("language")).alias("kind")).where("kind is not null")
@@ -226,7 +256,11 @@ def _(s, d):
     return g.select("repo_name", "name", "n", F.when(F.col("n") == 1, F.col("first")).alias("unique_id"))
 
 
-@query("e2_base_type")
+_RETURN = r"nullif(trim(regexp_extract(signature, '^[^\n]*?\)\s*->\s*([^\n]+?)\s*(?:\{|:|where\b|$)', 1)), '')"
+_BASE_TYPE = r"regexp_replace(trim(regexp_replace(regexp_replace(trim(t), '^(?:&\s*)?(?:''\w+\s+)?(?:mut\s+)?(?:dyn\s+)?', ''), '<.*$', '')), '^.*::', '')"
+
+
+@query("e2_base_type", f"WITH {D.CH}, r AS (SELECT id, {_RETURN} AS t FROM ch) SELECT id, t AS return_type, {_BASE_TYPE} AS base FROM r WHERE t IS NOT NULL")
 def _(s, d):
     sig = D.chunks(s, d, ["signature", "ingested_at"]).select("id", fn.return_type(F.col("signature")).alias("t")).where("t is not null")
     return sig.select("id", F.col("t").alias("return_type"), fn.base_type(F.col("t")).alias("base"))
