@@ -83,7 +83,7 @@ def wikitext_to_text(c: Column) -> Column:
     ]
     for a, b in rules:
         c = F.regexp_replace(c, a, b)
-    return F.trim(c)
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def base_type(c: Column) -> Column:
@@ -162,3 +162,16 @@ def version_header(c: Column) -> Column:
     """Struct (major, minor, patch) of a header's defines, null if one of them is missing."""
     part = [F.nullif(F.regexp_extract(c, rf"(?m)^\s*#\s*define\s+\w*{p}\s+(\d+)", 1), F.lit("")).cast("int") for p in ("MAJOR", "MINOR", "PATCH")]
     return F.when(part[0].isNotNull() & part[1].isNotNull() & part[2].isNotNull(), F.struct(*[p.alias(n) for p, n in zip(part, ("major", "minor", "patch"))]))
+
+
+def file_route(path: Column) -> Column:
+    """The route that a file's place stands for: groups in parentheses and an index are left out; null for other files."""
+    svelte = F.regexp_extract(path, r"(?:^|/)routes/(.*?)/?\+(?:page|server)\.[^/]*$", 1)
+    nuxt = F.regexp_replace(F.regexp_extract(path, r"(?:^|/)pages/(.*)\.vue$", 1), r"(^|/)index$", "")
+    of = lambda p: F.concat(F.lit("/"), F.array_join(F.filter(F.split(p, "/"), lambda x: (x != "") & ~x.rlike(r"^\(.*\)$")), "/"))
+    return F.when(path.rlike(r"(?:^|/)routes/.*\+(?:page|server)\."), of(svelte)).when(path.rlike(r"(?:^|/)pages/.*\.vue$"), of(nuxt))
+
+
+def dyn_trait(c: Column) -> Column:
+    """The trait of ``dyn T``, plain or in a pointer; null for other types."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(c, r"^\s*(?:&\s*(?:'\w+\s+)?(?:mut\s+)?|(?:\w+::)*(?:Box|Arc|Rc)<\s*)?dyn\s+([\w:]+)", 1), r"^.*::", ""), F.lit(""))
