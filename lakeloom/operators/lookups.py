@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.sources.tables import Scratch
+
 
 def only(df: DataFrame, **equal) -> DataFrame:
     """The rows with these values; arguments that are None are no condition."""
@@ -97,3 +99,18 @@ def details(request: DataFrame, *tables: DataFrame) -> DataFrame:
     out = request.join(first, "id").join(known, "id", "left")
     kind = F.when((F.col("pos") == F.col("first")) & F.col("hit").isNotNull(), F.col("hit.kind")).otherwise("Not found")
     return out.select("pos", "id", kind.alias("kind"), F.when(kind != "Not found", F.col("hit.title")).alias("title"))
+
+
+def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """With ``name``: the place of every row in the order of the whole table, from 1.
+
+    Rows are cut into ranges of the order, which are stored; places within a
+    range are counted from the sizes of the ranges before it, of which there are
+    as many as partitions.  So no task sees all rows.
+    """
+    s = Scratch(df.sparkSession, "ranked")
+    rows = s.save(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    base = sizes.withColumn("_base", F.sum("n").over(Window.orderBy("_range")) - F.col("n")).select("_range", "_base")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return rows.withColumn("_place", place).join(F.broadcast(base), "_range").withColumn(name, (F.col("_place") + F.col("_base")).cast("long")).drop("_range", "_place", "_base")

@@ -8,26 +8,31 @@ from pyspark.sql import functions as F
 from lakeloom.operators.curation import cosine
 
 RRF_K = 60
+#: Terms that the queries of one lexical search may have.
+MOST_TERMS = 1000
 
 
 def terms(c: Column) -> Column:
-    """Lower-case words of a text."""
-    return F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
+    """Lower-case words of a text: runs of letters and digits of any script."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def lexical(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """(query, key, score, rank): texts with all terms of a query, by term frequency over length.
 
-    ``queries``: query, term; few rows, whose size is checked by the caller.  The
-    score is the sum over the terms of 1 + ln(frequency), over 1 + ln(words).
+    ``queries``: query, term; at most ``MOST_TERMS`` terms, which are checked here.
+    The score is the sum over the terms of 1 + ln(frequency), over 1 + ln(words).
+    A text's words are cut to the queries' terms before they become rows.
     """
-    wanted = F.broadcast(queries.select("term").distinct())
-    words = docs.select(F.col(key).alias("key"), F.explode(terms(F.col(text))).alias("term"))
-    n = docs.select(F.col(key).alias("key"), F.size(terms(F.col(text))).alias("len"))
-    tf = words.join(wanted, "term").groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
+    wanted = [r["term"] for r in queries.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    if len(wanted) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    split = docs.select(F.col(key).alias("key"), terms(F.col(text)).alias("_w"))
+    words = split.select("key", F.size("_w").alias("len"), F.explode(F.filter("_w", lambda x: x.isin(wanted))).alias("term"))
+    tf = words.groupBy("key", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     need = queries.groupBy("query").agg(F.count(F.lit(1)).alias("need"))
-    hit = tf.join(F.broadcast(queries), "term").groupBy("query", "key").agg(F.count(F.lit(1)).alias("got"), F.sum(1 + F.log("tf")).alias("s"))
-    hit = hit.join(F.broadcast(need), "query").where("got = need").join(n, "key")
+    hit = tf.join(F.broadcast(queries), "term").groupBy("query", "key", "len").agg(F.count(F.lit(1)).alias("got"), F.sum(1 + F.log("tf")).alias("s"))
+    hit = hit.join(F.broadcast(need), "query").where("got = need")
     hit = hit.withColumn("score", F.round(F.col("s") / (1 + F.log(F.col("len"))), 6))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "key")
     return hit.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).select("query", "key", "score", "rank")
@@ -83,3 +88,20 @@ def rule_signal(q: Column) -> tuple[Column, Column]:
     lean = F.when(name, 0.6).otherwise(0.0) + F.when(dotted, 0.3).otherwise(0.0) + F.when(ticked, 0.4).otherwise(0.0) - F.when(asks, 0.3).otherwise(0.0)
     none = ~(name | dotted | ticked | asks)
     return F.when(none, 0.1).otherwise(F.least(F.lit(1.0), conf)), F.when(none, 0.4).otherwise(lean)
+
+
+def every_hundredth(key: Column) -> Column:
+    """The stated query set of a search: about every hundredth id, by its digest."""
+    return F.substring(F.md5(key.cast("string")), 1, 2) < "03"
+
+
+def query_weights(confidence: Column, lean: Column, archetype: Column) -> tuple[Column, Column]:
+    """(symbol weight, concept weight): the rule's leaning by its confidence, the archetype's by the rest, within .05 and .95."""
+    symbol = F.greatest(F.lit(0.05), F.least(F.lit(0.95), lean * confidence + archetype * (1 - confidence)))
+    return symbol, 1 - symbol
+
+
+def archetype_signal(symbol: Column, concept: Column) -> Column:
+    """The share of the symbol archetype's similarity; a half where there is none."""
+    total = symbol + concept
+    return F.when(total > 0, symbol / total).otherwise(0.5)

@@ -27,11 +27,15 @@ def query(name: str, sql: str | None = None):
 SYMBOL = "old rod"
 
 
-def _trails(depth: int, conf: float, up: bool) -> str:
+def _trail_ctes(depth: int, conf: float, up: bool, e: str = "e", tr: str = "tr") -> str:
     a, b = ("dst", "src") if up else ("src", "dst")
-    return f"""WITH RECURSIVE {D.ND}, {D.CA}, e AS (SELECT {a} AS f, {b} AS t, confidence, method, [src, dst] AS k FROM ca WHERE confidence >= {conf}),
-tr AS (SELECT nd.id AS start, e.t AS node, 1 AS depth, e.confidence, e.method, e.confidence AS product, [e.k] AS trail FROM nd JOIN e ON e.f = nd.id WHERE contains(nd.name, '{SYMBOL}')
-UNION ALL SELECT tr.start, e.t, tr.depth + 1, e.confidence, e.method, tr.product * e.confidence, list_append(tr.trail, e.k) FROM tr JOIN e ON e.f = tr.node WHERE tr.depth < {depth} AND NOT list_contains(tr.trail, e.k))"""
+    return f"""{e} AS (SELECT {a} AS f, {b} AS t, confidence, method, [src, dst] AS k FROM ca WHERE confidence >= {conf}),
+{tr} AS (SELECT nd.id AS start, {e}.t AS node, 1 AS depth, {e}.confidence, {e}.method, {e}.confidence AS product, [{e}.k] AS trail FROM nd JOIN {e} ON {e}.f = nd.id WHERE contains(nd.name, '{SYMBOL}')
+UNION ALL SELECT {tr}.start, {e}.t, {tr}.depth + 1, {e}.confidence, {e}.method, {tr}.product * {e}.confidence, list_append({tr}.trail, {e}.k) FROM {tr} JOIN {e} ON {e}.f = {tr}.node WHERE {tr}.depth < {depth} AND NOT list_contains({tr}.trail, {e}.k))"""
+
+
+def _trails(depth: int, conf: float, up: bool) -> str:
+    return f"WITH RECURSIVE {D.ND}, {D.CA}, " + _trail_ctes(depth, conf, up)
 
 
 def _graph(s, d):
@@ -49,7 +53,19 @@ def _traverse(name, up, depth, conf):
 
 _traverse("g1_downstream_calls", False, 3, 0.97)
 _traverse("g2_upstream_calls", True, 3, 0.97)
-_traverse("g3_traverse_both_depth4", True, 4, 1.0)
+
+
+_REACHED = "nd.name, nd.module, nd.kind, t.depth, round(t.confidence, 6) AS confidence, t.method"
+
+
+@query(
+    "g3_traverse_both_depth4",
+    f"WITH RECURSIVE {D.ND}, {D.CA}, {_trail_ctes(4, 0.99, False)}, {_trail_ctes(4, 0.99, True, 'eu', 'tu')} SELECT DISTINCT 'down' AS direction, {_REACHED} FROM tr t JOIN nd ON nd.id = t.node UNION SELECT DISTINCT 'up', {_REACHED} FROM tu t JOIN nd ON nd.id = t.node",
+)
+def _(s, d):
+    n, e = _graph(s, d)
+    both = [op.reached(n, e, SYMBOL, 4, 0.99, up).withColumn("direction", F.lit("up" if up else "down")) for up in (False, True)]
+    return both[0].unionByName(both[1]).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("g4_impact_callers", _trails(2, 0.9, True) + " SELECT * FROM (SELECT DISTINCT tr.node, nd.name, nd.module, tr.depth, round(tr.product, 6) AS confidence FROM tr JOIN nd ON nd.id = tr.node) ORDER BY depth, node, confidence LIMIT 200")
@@ -274,9 +290,9 @@ def _(s, d):
     return op.local_moves(s, e)
 
 
-@query("g28_components", f"WITH RECURSIVE {D.CA}, e AS (SELECT src AS a, dst AS b FROM ca WHERE confidence >= 1 UNION SELECT dst, src FROM ca WHERE confidence >= 1), r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY 1")
+@query("g28_components", f"WITH RECURSIVE {D.CA}, e AS (SELECT src AS a, dst AS b FROM ca UNION SELECT dst, src FROM ca), r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY 1")
 def _(s, d):
-    return cc.components(s, D.calls(s, d).where("confidence >= 1"), "src", "dst")
+    return cc.components(s, D.calls(s, d), "src", "dst")
 
 
 @query("g29_code_communities")
@@ -303,10 +319,10 @@ def _(s, d):
     return op.flows(_flow_starts(n), n, e.where("confidence >= 0.97"))
 
 
-@query("g34_flow_list", f"WITH {D.ND} SELECT id AS flow, name, kind AS entry_type, row_number() OVER (ORDER BY kind, name, id) AS place FROM nd WHERE kind = 'PROMO' AND size <= 2")
+@query("g34_flow_list", f"WITH {D.ND} SELECT id AS flow, name, kind AS entry_type, row_number() OVER (ORDER BY kind, name, id) AS place FROM nd WHERE kind = 'PROMO'")
 def _(s, d):
-    n = _flow_starts(D.nodes(s, d)).where("size <= 2")  # as its SQL; the flows themselves start at every entry point
-    return n.select(F.col("id").alias("flow"), "name", F.col("kind").alias("entry_type"), F.row_number().over(Window.orderBy("kind", "name", "id")).alias("place"))
+    n = _flow_starts(D.nodes(s, d)).select(F.col("id").alias("flow"), "name", F.col("kind").alias("entry_type"))
+    return lookups.ranked(n, ["entry_type", "name", "flow"], "place")
 
 
 @query("g35_flows_by_symbol")
@@ -319,7 +335,7 @@ def _(s, d):
 @query("g36_flow_steps")
 def _(s, d):
     n, e = _graph(s, d)
-    return op.flows(_flow_starts(n), n, e.where("confidence >= 0.97")).where("depth <= 3").orderBy("flow", "position")
+    return op.flows(_flow_starts(n), n, e.where("confidence >= 0.97")).orderBy("flow", "position")
 
 
 def _impact_paths(s, d):

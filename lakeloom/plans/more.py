@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 @query("c2_section_clusters")
 def _(s, d):
-    return clustering.spherical_kmeans(s, table(s, d, "embeddings"), "vec_id", "embedding", rounds=12)
+    return clustering.spherical_kmeans(s, table(s, d, "embeddings"), "vec_id", "embedding")
 
 
 @query("c3_centroids", "SELECT label, CAST(i AS INTEGER) AS i, round(avg(x), 6) AS m FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY ALL")
@@ -60,23 +60,25 @@ def _(s, d):
 
 
 _COS = "CASE WHEN list_inner_product(x, x) > 0 AND list_inner_product(q.v, q.v) > 0 THEN list_inner_product(x, q.v) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(q.v, q.v))) ELSE 0 END"
-_NEAREST = f"WITH {D.NO}, q AS (SELECT id, embedding::DOUBLE[] AS v FROM no WHERE len(embedding) = 48 ORDER BY id LIMIT 1), c AS (SELECT no.id, round({_COS}, 6) AS score FROM (SELECT id, embedding::DOUBLE[] AS x, invalid_at, archived FROM no WHERE len(embedding) = 48) no, q WHERE invalid_at IS NULL AND archived = false AND no.id <> q.id ORDER BY score DESC, no.id LIMIT 1)"
+_NEAREST = f"WITH {D.NO}, v AS (SELECT id, embedding::DOUBLE[] AS x, invalid_at, archived FROM no WHERE len(embedding) = 48), q AS (SELECT id AS query, x AS v FROM v WHERE substr(md5(id), 1, 2) < '03'), c AS (SELECT query, id, score FROM (SELECT q.query, v.id, round({_COS}, 6) AS score FROM v, q WHERE v.invalid_at IS NULL AND v.archived = false AND v.id <> q.query) QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) = 1)"
 
 
 def _nearest_note(s, d):
+    """Of every hundredth note, the most similar other valid note."""
     n = D.notes(s, d, ["embedding", "invalid_at", "archived", "updated_at"]).where(F.size("embedding") == 48)
-    q = n.orderBy("id").limit(1).select(F.col("id").alias("query"), F.col("embedding").alias("v"))
-    return retrieval.nearest(curation.valid(n), q, "id", "embedding", 2).where("key <> query").orderBy("rank").limit(1)
+    q = n.where(retrieval.every_hundredth(F.col("id"))).select(F.col("id").alias("query"), F.col("embedding").alias("v"))
+    near = retrieval.nearest(curation.valid(n), q, "id", "embedding", 2).where("key <> query")
+    return near.groupBy("query").agg(F.min(F.struct("rank", "key", "score")).alias("b")).select("query", F.col("b.key").alias("id"), F.col("b.score").alias("score"))
 
 
-@query("n1_nearest_note", _NEAREST + " SELECT id, score FROM c")
+@query("n1_nearest_note", _NEAREST + " SELECT query, id, score FROM c")
 def _(s, d):
-    return _nearest_note(s, d).select(F.col("key").alias("id"), "score")
+    return _nearest_note(s, d)
 
 
-@query("n2_dedup_verdict", _NEAREST + " SELECT id, CASE WHEN score >= 0.9 THEN 'block' WHEN score >= 0.7 THEN 'warn' ELSE 'ok' END AS verdict FROM c")
+@query("n2_dedup_verdict", _NEAREST + " SELECT query, id, CASE WHEN score >= 0.9 THEN 'block' WHEN score >= 0.7 THEN 'warn' ELSE 'ok' END AS verdict FROM c")
 def _(s, d):
-    return _nearest_note(s, d).select(F.col("key").alias("id"), curation.dedup_verdict(F.col("score"), F.lit(False)).alias("verdict"))
+    return _nearest_note(s, d).select("query", "id", curation.dedup_verdict(F.col("score"), F.lit(False)).alias("verdict"))
 
 
 @query("v6_section_vectors", f"WITH {D.SE}, q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0) SELECT se.doc_id, se.position, round({_COS}, 6) AS score FROM se JOIN (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings) e ON e.vec_id = se.doc_id, q")

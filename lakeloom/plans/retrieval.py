@@ -25,17 +25,21 @@ def query(name: str, sql: str | None = None):
 _COS = "round(CASE WHEN list_inner_product(x, x) > 0 AND list_inner_product(q.v, q.v) > 0 THEN list_inner_product(x, q.v) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(q.v, q.v))) ELSE 0 END, 6)"
 
 
+#: The stated query set: every hundredth note, by its digest.
+ASKED = "substr(md5(id), 1, 2) < '03'"
+
+
 def _vector(name: str, cte: str, rel: str, key: str, col: str, cond: str, rows, k: int = 10) -> None:
-    """One query vector, the smallest note's, against all rows."""
+    """The vectors of every hundredth note, each against all rows."""
     ctes = D.NO if cte == D.NO else f"{D.NO}, {cte}"
-    sql = f"""WITH {ctes}, q AS (SELECT embedding::DOUBLE[] AS v FROM no WHERE len(embedding) = 48 ORDER BY id LIMIT 1)
-SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM (SELECT {key} AS id, {_COS} AS score FROM (SELECT {key}, {col}::DOUBLE[] AS x FROM {rel} WHERE len({col}) = 48 AND {cond}), q) ORDER BY score DESC, id LIMIT {k}"""
+    sql = f"""WITH {ctes}, q AS (SELECT id AS query, embedding::DOUBLE[] AS v FROM no WHERE len(embedding) = 48 AND {ASKED}),
+r AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) - 1 AS rank FROM (SELECT q.query, e.id, {_COS} AS score FROM (SELECT {key} AS id, {col}::DOUBLE[] AS x FROM {rel} WHERE len({col}) = 48 AND {cond}) e, q)) SELECT * FROM r WHERE rank < {k}"""
 
     @query(name, sql)
     def _(s, d):
-        q = D.notes(s, d, ["embedding", "updated_at"]).where(F.size("embedding") == 48).orderBy("id").limit(1).select(F.lit(1).alias("query"), F.col("embedding").alias("v"))
+        q = D.notes(s, d, ["embedding", "updated_at"]).where((F.size("embedding") == 48) & op.every_hundredth(F.col("id"))).select(F.col("id").alias("query"), F.col("embedding").alias("v"))
         r = rows(s, d).where(F.size(col) == 48)
-        return op.nearest(r, q, key, col, k).select(F.col("key").alias("id"), "score", "rank")
+        return op.nearest(r, q, key, col, k).select("query", F.col("key").alias("id"), "score", "rank")
 
 
 _vector("v1_chunk_vectors", D.CH, "ch", "id", "embedding", "true", lambda s, d: D.chunks(s, d, ["embedding", "ingested_at"]))
@@ -59,7 +63,7 @@ def _query_terms(s):
 
 
 def _lexical_sql(rel: str, key: str, text: str) -> str:
-    return f"""qt AS (SELECT query, term FROM {_terms()}), tk AS (SELECT {key} AS key, unnest(regexp_extract_all(lower({text}), '[a-z]+')) AS term FROM {rel}),
+    return f"""qt AS (SELECT query, term FROM {_terms()}), tk AS (SELECT {key} AS key, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) AS term FROM {rel}),
 ln AS (SELECT key, count(*) AS len FROM tk GROUP BY 1), tf AS (SELECT key, term, count(*) AS tf FROM tk WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
 ht AS (SELECT query, key, count(*) AS got, sum(1 + ln(tf)) AS s FROM tf JOIN qt ON qt.term = tf.term GROUP BY ALL),
 lx AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) - 1 AS rank FROM (SELECT ht.query, ht.key, round(s / (1 + ln(len)), 6) AS score FROM ht JOIN ln ON ln.key = ht.key WHERE got = (SELECT count(*) FROM qt z WHERE z.query = ht.query)))"""
