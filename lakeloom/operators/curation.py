@@ -63,3 +63,13 @@ def streaks(samples: DataFrame, key: str, tick: str, bad: Column) -> DataFrame:
     w = Window.partitionBy(key).orderBy(tick)
     runs = samples.where(bad).withColumn("_g", F.col(tick) - F.row_number().over(w))
     return runs.groupBy(key, "_g").agg(F.min(tick).alias("first"), F.max(tick).alias("last"), F.count(F.lit(1)).alias("length")).drop("_g")
+
+
+def changed(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Rows after a change set (key, op, columns): deleted keys are gone, updated and inserted ones have the new columns.
+
+    The change set holds one change per key.
+    """
+    cols = [c for c in rows.columns if c != key]
+    kept = rows.join(changes.select(key), key, "left_anti")
+    return kept.unionByName(changes.where("op <> 'delete'").select(key, *cols))

@@ -42,6 +42,19 @@ def reached(nodes: DataFrame, edges: DataFrame, symbol: str, depth: int, min_con
     return t.join(nodes.select(F.col("id").alias("node"), "name", "module", "kind"), "node").select("name", "module", "kind", "depth", "confidence", "method").distinct()
 
 
+def distances(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """(start, node, depth): the nodes within ``depth`` calls of each start, with the fewest calls to them."""
+    s = Scratch(starts.sparkSession, "distances")
+    e = edges.select("src", "dst").distinct()
+    level = starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct()
+    seen = level.withColumn("depth", F.lit(0))
+    for k in range(1, depth + 1):
+        nxt = level.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        level = s.save(nxt.join(seen.select("start", "node"), ["start", "node"], "left_anti"), "level")
+        seen = seen.unionByName(level.withColumn("depth", F.lit(k)))
+    return seen
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(id, in_degree, out_degree, degree) of every end of an edge."""
     ends = edges.select(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(edges.select(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lakeloom.plans import contract, curation, edges, extra, general, graph, lookups, more, retrieval, text
+from lakeloom.plans import contract, curation, edges, extra, general, graph, lookups, more, retrieval, services, text
 from lakeloom.streaming import events
 
-MODULES = [retrieval, lookups, graph, curation, text, more, extra, contract, edges, events, general]
+MODULES = [retrieval, lookups, graph, curation, text, more, extra, contract, edges, services, events, general]
 
 
 def queries() -> dict:

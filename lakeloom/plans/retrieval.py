@@ -124,7 +124,13 @@ def _(s, d):
     return n.select("id", F.round(c, 6).alias("confidence"), F.round(lean, 6).alias("lean"))
 
 
-@query("r15_budget_prune")
+_TOK = "(CAST(length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g')) // 4 AS BIGINT) + 2 * (length(t) - length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g'))) + 50)"
+_BUDGET = f"""WITH {_HYBRID}, co AS (SELECT fu.query, fu.key, fu.rrf, {_TOK} AS tokens FROM fu JOIN (SELECT doc_id, coalesce(text, '') AS t FROM documents) d ON d.doc_id = fu.key),
+xs AS (SELECT query, list({{'c': tokens::BIGINT, 'k': key::BIGINT}} ORDER BY rrf DESC, key) AS l FROM co GROUP BY 1),
+kp AS (SELECT query, list_reduce(l, lambda a, x: CASE WHEN a.used + x.c <= 600 THEN {{'used': a.used + x.c, 'kept': list_append(a.kept, x.k)}} ELSE a END, {{'used': 0::BIGINT, 'kept': []::BIGINT[]}}).kept AS kept FROM xs)"""
+
+
+@query("r15_budget_prune", f"{_BUDGET} SELECT query, CAST(generate_subscripts(kept, 1) - 1 AS INTEGER) AS place, unnest(kept) AS key FROM kp")
 def _(s, d):
     """The fused documents that fit 600 estimated tokens per query, greedily, skipping what does not fit."""
     from lakeloom.functions.text import estimate_tokens
