@@ -57,39 +57,54 @@ def _members(kind: str) -> str:
     return bytes(bytes_only.encode_ordinary(every)).decode()
 
 
-_PATTERNS: dict[str, str] = {}
+def _pattern(letters: str, numbers: str, other: str) -> str:
+    return WORDS.replace("{letters}", letters).replace("{numbers}", numbers).replace("{other}", other)
 
 
-def word_pattern(spark: SparkSession) -> str:
-    """The word pattern for this JVM: what its Unicode version knows differently from the tokenizer's is put right.
+#: The word pattern of a JVM whose Unicode version is the tokenizer's.
+PLAIN_WORDS = _pattern(r"[A-Za-z\p{L}]", r"[0-9\p{N}]", r"\p{L}\p{N}")
+_PATTERNS: dict[str, tuple[str, str, str]] = {}
 
-    One call sends the tokenizer's letters (numbers) to the JVM's matcher, which
-    gives back those it doesn't know; a second finds those that only the JVM
-    knows.  In a JVM of the same Unicode version the classes stay as they are.
+
+def word_patterns(spark: SparkSession) -> tuple[str, str, str]:
+    """(pattern, odd, above) for what this JVM's Unicode version knows differently from the tokenizer's.
+
+    ``odd``: the class of those characters, ``above``: that of all from the first
+    of them on, a cheap first look; ``pattern`` puts them right.  One call sends
+    the tokenizer's letters (numbers) to the JVM's matcher, which gives back those
+    it doesn't know; a second finds those that only the JVM knows.
     """
     jvm = spark._jvm
     version = jvm.java.lang.System.getProperty("java.version")
     if version not in _PATTERNS:
-        parts, more, less = {}, "", ""
+        parts, more, less, odd = {}, "", "", set()
+        every = "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x110000)]))
         for name, kind, plain in (("letters", r"\p{L}", r"A-Za-z\p{L}"), ("numbers", r"\p{N}", r"0-9\p{N}")):
             own = _members(kind)
             unknown = set(jvm.java.util.regex.Pattern.compile(kind).matcher(own).replaceAll(""))
-            others = "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x110000)])).translate(dict.fromkeys(map(ord, own)))
+            others = every.translate(dict.fromkeys(map(ord, own)))
             beyond = set(jvm.java.util.regex.Pattern.compile(kind.replace("p", "P", 1)).matcher(others).replaceAll(""))
             add, cut = _ranges(unknown), _ranges(beyond)
             parts[name] = f"[{plain}{add}]" if not cut else f"[{plain}{add}&&[^{cut}]]"
-            more, less = more + plain + add, less + cut
-        parts["other"] = more
-        pattern = WORDS.replace("{letters}", parts["letters"]).replace("{numbers}", parts["numbers"]).replace("{other}", parts["other"])
+            more, less, odd = more + plain + add, less + cut, odd | unknown | beyond
+        pattern = _pattern(parts["letters"], parts["numbers"], more)
         if less:
             pattern = pattern.replace(f"[^{SPACE}{more}]", f"(?:[^{SPACE}{more}]|[{less}])")
-        _PATTERNS[version] = pattern
+        first = min(map(ord, odd), default=0x10FFFF)
+        _PATTERNS[version] = (pattern, f"[{_ranges(odd)}]" if odd else "", rf"[\x{{{first:X}}}-\x{{10FFFF}}]")
     return _PATTERNS[version]
 
 
 def words(text: Column, spark: SparkSession | None = None) -> Column:
-    """The words of a text in order; together they are the text.  Null gives null."""
-    return F.regexp_extract_all(text, F.lit(word_pattern(spark or SparkSession.active())), F.lit(0))
+    """The words of a text in order; together they are the text.  Null gives null.
+
+    Only a text with a character that the JVM knows differently takes the longer pattern.
+    """
+    pattern, odd, above = word_patterns(spark or SparkSession.active())
+    plain = F.regexp_extract_all(text, F.lit(PLAIN_WORDS), F.lit(0))
+    if not odd:
+        return plain
+    return F.when(text.rlike(above) & text.rlike(odd), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(plain)
 
 
 @functools.lru_cache(maxsize=4)
