@@ -336,9 +336,13 @@ def _(s, d):
     return table(s, d, "events").groupBy(F.window("ts", "1 minute")["start"].alias("minute")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query("t13_metrics", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY 1")
+@query("t13_metrics", "SELECT event_type, le, count(*) FILTER (WHERE value <= le) AS n, round(sum(value), 3) AS total FROM events, (SELECT unnest([5.0, 10.0, 25.0, 50.0, 1e9]) AS le) GROUP BY ALL")
 def _(s, d):
-    return table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"))
+    """A histogram for each type: samples up to each bound, and their sum; one pass, bounds as columns."""
+    bounds = [5.0, 10.0, 25.0, 50.0, 1e9]
+    g = table(s, d, "events").groupBy("event_type").agg(*[F.count_if(F.col("value") <= b).alias(f"b{i}") for i, b in enumerate(bounds)], F.round(F.sum("value"), 3).alias("total"))
+    cells = F.explode(F.array(*[F.struct(F.lit(b).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)]))
+    return g.select("event_type", cells.alias("c"), "total").select("event_type", "c.le", "c.n", "total")
 
 
 # --- evaluation ---------------------------------------------------------------
@@ -361,16 +365,3 @@ def _(s, d):
     r = sc.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("c"), "vec_id")) - 1).where("relevant").groupBy("query").agg(F.min("rank").alias("rank"))
     k = F.col("rank")
     return r.agg(F.round(F.avg(1 / (k + 1)), 6).alias("mrr"), F.round(F.avg(F.when(k < 1, 1.0).otherwise(0.0)), 6).alias("recall_1"), F.round(F.avg(F.when(k < 10, 1.0).otherwise(0.0)), 6).alias("recall_10"), F.round(F.avg(F.when(k < 10, 1 / F.log2(k + 2)).otherwise(0.0)), 6).alias("ndcg_10"))
-
-
-@query("m6_category_ratios", "WITH g AS (SELECT event_type AS category, sum(CASE WHEN user_id % 2 = 0 THEN value ELSE 0 END) AS a, sum(CASE WHEN user_id % 2 = 1 THEN value ELSE 0 END) AS b FROM events GROUP BY 1) SELECT category, round(a / nullif(b, 0), 6) AS ratio FROM g")
-def _(s, d):
-    v = F.col("value")
-    g = table(s, d, "events").groupBy(F.col("event_type").alias("category")).agg(F.sum(F.when(F.col("user_id") % 2 == 0, v).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("user_id") % 2 == 1, v).otherwise(0.0)).alias("b"))
-    return g.select("category", F.round(F.try_divide("a", "b"), 6).alias("ratio"))
-
-
-@query("m8_report_table", "SELECT coalesce(event_type, 'overall') AS category, count(*) AS n, round(sum(value), 4) AS tokens FROM events GROUP BY ROLLUP (event_type)")
-def _(s, d):
-    r = table(s, d, "events").rollup("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("tokens"))
-    return r.select(F.coalesce("event_type", F.lit("overall")).alias("category"), "n", "tokens")

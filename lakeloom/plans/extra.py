@@ -52,13 +52,14 @@ def _(s, d):
     return e.join(b, "vec_id").select("vec_id", F.round(F.greatest(F.lit(0.0), curation.cosine(F.col("embedding"), F.col("v"))), 6).alias("cosine"))
 
 
-@query("s26_metric_lines", "SELECT event_id, event_type AS label, round(value, 4) AS value FROM events")
+@query("s26_metric_lines", "SELECT event_id, event_type AS label, round(value, 4) AS value FROM events WHERE event_id % 5 <> 0")
 def _(s, d):
-    """Lines of a metrics page are parsed; lines that are none are skipped."""
+    """Pages of three lines: a remark, a line that is none or a sample, a blank one; only samples count."""
     e = table(s, d, "events")
-    line = F.format_string('hits_total{type="%s",id="%d"} %s', "event_type", "event_id", F.col("value").cast("string"))
+    sample = F.format_string('hits_total{type="%s",id="%d"} %s', "event_type", "event_id", F.col("value").cast("string"))
+    page = F.concat(F.lit("# HELP hits_total x\n"), F.when(F.col("event_id") % 5 == 0, F.format_string("hits_total{id=%d", "event_id")).otherwise(sample), F.lit("\n"))
     p = r"^([A-Za-z_:][\w:]*)(?:\{(.*)\})?\s+(\S+)$"
-    x = e.select(line.alias("l")).where(F.col("l").rlike(p))
+    x = e.select(F.explode(F.split(page, "\n")).alias("l")).where(~F.col("l").startswith("#") & F.col("l").rlike(p))
     labels = F.str_to_map(F.regexp_replace(F.regexp_extract("l", p, 2), '"', ""), F.lit(","), F.lit("="))
     return x.select(labels["id"].cast("long").alias("event_id"), labels["type"].alias("label"), F.round(F.regexp_extract("l", p, 3).cast("double"), 4).alias("value"))
 
@@ -100,15 +101,57 @@ def _(s, d):
     return c.groupBy("repo_name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("module_path").alias("n_files"))
 
 
-@query("t8_drain_timeouts", "SELECT event_id FROM (SELECT *, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS b FROM events) WHERE b IS NOT NULL AND CASE WHEN value < b THEN value ELSE value - b END > 0 AND event_type = 'error'")
+_TICKS = "dy AS (SELECT date_trunc('day', ts) AS tick, count(*) FILTER (WHERE event_type = 'error') AS k FROM events GROUP BY 1), sp AS (SELECT tick, CAST(CASE WHEN day(tick) % 7 = 0 THEN k ELSE sum(k) OVER (ORDER BY tick) END AS DOUBLE) AS value FROM dy)"
+
+
+@query("t8_drain_timeouts", f"WITH {_TICKS} SELECT tick, CASE WHEN value < b THEN value ELSE value - b END AS delta FROM (SELECT *, lag(value) OVER (ORDER BY tick) AS b FROM sp) WHERE b IS NOT NULL AND CASE WHEN value < b THEN value ELSE value - b END > 0")
+def _(s, d):
+    """The alert of a counter that grew since the tick before; one row a day, and a reset in every week."""
+    days = table(s, d, "events").groupBy(F.date_trunc("day", "ts").alias("tick")).agg(F.count_if(F.col("event_type") == "error").alias("k"))
+    days = days.withColumn("rule", F.lit("drain_timeouts"))  # a row for each tick of the evaluator
+    total = F.sum("k").over(Window.partitionBy("rule").orderBy("tick"))
+    samples = days.withColumn("value", F.when(F.dayofmonth("tick") % 7 == 0, F.col("k")).otherwise(total).cast("double"))
+    return curation.counter_delta(samples, ["rule"], "tick", "value").where("delta > 0").select(F.col("tick").cast("timestamp_ntz").alias("tick"), "delta")
+
+
+#: Two ways to answer from a document: its beginning, and all of it; the answer is there if it names the budget.
+_ITEMS = """it AS (SELECT doc_id, coalesce(lower(trim(source)), 'none') AS category, strategy, strlen(t) AS bytes, CAST(length(t) // 4 AS BIGINT) AS tokens, CASE WHEN contains(lower(t), 'budget') THEN 1.0 ELSE 0.0 END AS recall
+  FROM (SELECT doc_id, source, 'graph' AS strategy, left(text, 200) AS t FROM documents WHERE text <> '' UNION ALL SELECT doc_id, source, 'grep', text FROM documents WHERE text <> ''))"""
+
+
+def _items(s, d):
+    t = table(s, d, "documents").where("text <> ''")
+    two = F.explode(F.array(F.struct(F.lit("graph").alias("strategy"), F.substring("text", 1, 200).alias("t")), F.struct(F.lit("grep").alias("strategy"), F.col("text").alias("t"))))
+    t = t.select("doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("none")).alias("category"), two.alias("x")).select("doc_id", "category", "x.*")
+    return t.select("doc_id", "category", "strategy", F.octet_length("t").cast("long").alias("bytes"), F.floor(F.length("t") / 4).cast("long").alias("tokens"), F.when(F.lower("t").contains("budget"), 1.0).otherwise(0.0).alias("recall"))
+
+
+@query("m5_strategy_aggregate", f"WITH {_ITEMS} SELECT strategy, count(*) AS items, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(bytes) AS BIGINT) AS bytes, round(avg(recall), 6) AS recall FROM it GROUP BY 1")
+def _(s, d):
+    return _items(s, d).groupBy("strategy").agg(F.count(F.lit(1)).alias("items"), F.sum("tokens").alias("tokens"), F.sum("bytes").alias("bytes"), F.round(F.avg("recall"), 6).alias("recall"))
+
+
+_RATIO = f"{_ITEMS}, ra AS (SELECT category, round(sum(tokens) FILTER (WHERE strategy = 'graph') / nullif(sum(tokens) FILTER (WHERE strategy = 'grep'), 0), 6) AS ratio FROM it GROUP BY 1)"
+
+
+def _ratios(s, d):
+    of = lambda x: F.sum(F.when(F.col("strategy") == x, F.col("tokens")).otherwise(0))
+    return _items(s, d).groupBy("category").agg(F.round(F.try_divide(of("graph"), of("grep")), 6).alias("ratio"))
+
+
+@query("m6_category_ratios", f"WITH {_RATIO} SELECT category, ratio FROM ra UNION ALL SELECT '(macro)', round(avg(ratio), 5) FROM ra")
 def _(s, d):
-    e = curation.counter_delta(table(s, d, "events"), ["user_id", "event_type"], "ts", "value")
-    return e.where("delta > 0 and event_type = 'error'").select("event_id")
+    """Tokens of one way over the other per category, none where the baseline has none, and the mean of the categories."""
+    r = _ratios(s, d)
+    return r.unionByName(r.agg(F.round(F.avg("ratio"), 5).alias("ratio")).select(F.lit("(macro)").alias("category"), "ratio"))
 
 
-@query("m5_strategy_aggregate", "SELECT event_type AS strategy, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+@query("m8_report_table", f"WITH {_ITEMS} SELECT coalesce(category, '(overall)') AS category, CAST(sum(tokens) FILTER (WHERE strategy = 'graph') AS BIGINT) AS tokens, CAST(sum(tokens) FILTER (WHERE strategy = 'grep') AS BIGINT) AS baseline, round(100 * (1 - sum(tokens) FILTER (WHERE strategy = 'graph') / nullif(sum(tokens) FILTER (WHERE strategy = 'grep'), 0)), 2) AS saved, round(avg(recall) FILTER (WHERE strategy = 'graph'), 4) AS recall FROM it GROUP BY ROLLUP (category)")
 def _(s, d):
-    return table(s, d, "events").groupBy(F.col("event_type").alias("strategy")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"))
+    """A row per category and one over all: tokens of both ways, what is saved, and beside it the recall."""
+    of = lambda x, c: F.sum(F.when(F.col("strategy") == x, F.col(c)))
+    r = _items(s, d).rollup("category").agg(of("graph", "tokens").alias("tokens"), of("grep", "tokens").alias("baseline"), F.round(F.avg(F.when(F.col("strategy") == "graph", F.col("recall"))), 4).alias("recall"))
+    return r.select(F.coalesce("category", F.lit("(overall)")).alias("category"), "tokens", "baseline", F.round(100 * (1 - F.try_divide("tokens", "baseline")), 2).alias("saved"), "recall")
 
 
 _LINES = "dl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text <> '')"

@@ -219,9 +219,12 @@ def _(s, d):
     return D.modules(D.chunks(s, d)).where(F.col("path").rlike(fn.glob_to_regex("src/*/*.rs"))).select("repo_name", "path")
 
 
-@query("x40_completeness", f"WITH {D.JO} SELECT repo, round(1.0 * count(*) FILTER (WHERE status <> 'failed') / count(*), 6) AS ratio FROM jo GROUP BY 1")
+@query("x40_completeness", f"WITH {D.MO}, k AS (SELECT repo_name, count(*) AS total, count(*) FILTER (WHERE language IS NULL) AS failed FROM mo GROUP BY 1) SELECT s.repo_name, round(coalesce(1.0 * (k.total - k.failed) / k.total, 1.0), 6) AS ratio, coalesce(k.failed > 0, false) AS aborts FROM sources s LEFT JOIN k USING (repo_name)")
 def _(s, d):
-    return D.jobs(s, d).groupBy("repo").agg(F.round(F.count_if(F.col("status") != "failed") / F.count(F.lit(1)), 6).alias("ratio"))
+    """Share of a source's files that were read, files without a known language having failed; 1 without files; less than all aborts."""
+    k = D.modules(D.chunks(s, d)).groupBy("repo_name").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("language").isNull()).alias("failed"))
+    j = table(s, d, "sources").select("repo_name").join(k, "repo_name", "left")
+    return j.select("repo_name", F.round(F.coalesce((F.col("total") - F.col("failed")) / F.col("total"), F.lit(1.0)), 6).alias("ratio"), F.coalesce(F.col("failed") > 0, F.lit(False)).alias("aborts"))
 
 
 _ENTRY = r"""CASE WHEN lang = 'rust' AND name = 'main' THEN 'main' WHEN lang = 'rust' AND regexp_matches(content, '#\[(?:tokio::)?test') THEN 'test' WHEN lang = 'rust' AND regexp_matches(content, '#\[(?:get|post|put|delete)\(') THEN 'api_handler'
