@@ -72,22 +72,22 @@ def boundary(edges: DataFrame, members: DataFrame, by: str = "module") -> DataFr
 def closure(spark: SparkSession, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(a, b, hops): every pair that a path joins, with the fewest hops, by doubling.
 
-    Each round joins the pairs found so far with themselves, so paths of any
-    length need logarithmic rounds.  Circles end with the round that finds nothing.
+    A shortest path of more than 2^k and at most 2^(k+1) edges is one of exactly
+    2^k and one of at most that, so each round joins only the pairs at exactly
+    the reached distance with those found so far, and stores only new pairs.
+    Circles end with the round that finds nothing.
     """
     s = Scratch(spark, "closure")
     known = s.save(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a is not null and b is not null").distinct().withColumn("hops", F.lit(1)), "pairs")
-    n = known.count()
+    exact, reach = known, 1
     for _ in range(max_rounds):
-        more = known.alias("x").join(known.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"), (F.col("x.hops") + F.col("y.hops")).alias("hops"))
-        step = s.save(known.unionByName(more).groupBy("a", "b").agg(F.min("hops").alias("hops")), "pairs")
-        total = step.agg(F.count(F.lit(1)).alias("n"), F.sum("hops").alias("h")).first()
-        was = known.agg(F.sum("hops").alias("h")).first()["h"]
-        s.drop(known)
-        known = step
-        if total["n"] == n and total["h"] == was:
+        more = exact.select("a", F.col("b").alias("_m"), F.col("hops").alias("_h")).join(known.select(F.col("a").alias("_m"), "b", "hops"), "_m")
+        more = more.groupBy("a", "b").agg(F.min(F.col("_h") + F.col("hops")).alias("hops"))
+        new = s.save(more.join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        if new.limit(1).count() == 0:
             return known
-        n = total["n"]
+        reach *= 2
+        known, exact = known.unionByName(new), new.where(F.col("hops") == reach)
     raise RuntimeError("closure did not settle")
 
 

@@ -12,7 +12,6 @@ from lakeloom.plans import registry
 
 DIR = "/root/testdata/sf0.001"
 SQL = registry.oracle_sql()
-HEAVY = {"g20_supersede_chain"}
 
 
 def _cell(v):
@@ -26,7 +25,7 @@ def _cell(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="test tables are missing")
-@pytest.mark.parametrize("name", sorted(set(SQL) - HEAVY))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, name):
     duckdb = pytest.importorskip("duckdb")
     df = registry.queries()[name](spark, DIR)
