@@ -61,10 +61,10 @@ def _communities(s, d):
     return c.select("label", (k % 3).alias("level"), (k % 2 == 0).alias("summarised"), F.col("centroid"))
 
 
-@query("v12_community_vectors", f"WITH {_COMM}, {_ASKED} SELECT query, label, score FROM (SELECT q.query, cm.label, round({_COS}, 5) AS score FROM cm, qv q WHERE cm.level = 0) QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, label) <= 3")
+@query("v12_community_vectors", f"WITH {_COMM}, {_ASKED} SELECT query, label, score FROM (SELECT q.query, cm.label, round(round({_COS}, 6), 4) AS score FROM cm, qv q WHERE cm.level = 0) QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, label) <= 3")
 def _(s, d):
     near = op.nearest(_communities(s, d).where("level = 0"), _asked(s, d), "label", "centroid", 20)
-    near = near.withColumn("score", F.round("score", 5))
+    near = near.withColumn("score", F.round("score", 4))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "key")
     return near.withColumn("r", F.row_number().over(w)).where("r <= 3").select("query", F.col("key").alias("label"), "score")
 
@@ -211,7 +211,7 @@ def _(s, d):
     return t.select("id", F.when(few, "explore").when(F.lower(F.trim("category")) == "decision", "decisions").otherwise("search").alias("mode"))
 
 
-@query("r20_global_query", f"WITH {_COMM}, {_ASKED}, b AS (SELECT query, label, score FROM (SELECT q.query, cm.label, round({_COS}, 5) AS score FROM cm, qv q WHERE cm.level = 0) QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, label) <= 3), e AS (SELECT label, vec_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3) SELECT b.query, b.label, e.vec_id AS example FROM b JOIN e USING (label)")
+@query("r20_global_query", f"WITH {_COMM}, {_ASKED}, b AS (SELECT query, label, score FROM (SELECT q.query, cm.label, round(round({_COS}, 6), 4) AS score FROM cm, qv q WHERE cm.level = 0) QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, label) <= 3), e AS (SELECT label, vec_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3) SELECT b.query, b.label, e.vec_id AS example FROM b JOIN e USING (label)")
 def _(s, d):
     best = QUERIES["v12_community_vectors"](s, d).select("query", "label")
     return best.join(QUERIES["c10_community_examples"](s, d), "label").select("query", "label", F.col("vec_id").alias("example"))
