@@ -104,7 +104,8 @@ def words(text: Column, spark: SparkSession | None = None) -> Column:
     plain = F.regexp_extract_all(text, F.lit(PLAIN_WORDS), F.lit(0))
     if not odd:
         return plain
-    return F.when(text.rlike(above) & text.rlike(odd), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(plain)
+    wide = F.octet_length(text) != F.length(text)
+    return F.when(wide & text.rlike(above) & text.rlike(odd), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(plain)
 
 
 @functools.lru_cache(maxsize=4)
