@@ -6,12 +6,19 @@ must pass is applied to the edges before they are joined, not to the paths.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lakeloom.sources.tables import Scratch
 
 MOST_DEPTH = 4
+#: Flows that one task walks, about.
+WALKS = 500
 
 
 def trails(edges: DataFrame, starts: DataFrame, depth: int, min_confidence: float = 0.0, upstream: bool = False) -> DataFrame:
@@ -145,49 +152,78 @@ def link_calls(calls: DataFrame, routes: DataFrame) -> DataFrame:
     return exact.unionByName(via.select(F.col("id").alias("call"), "route", F.lit("param").alias("matched_via"))).distinct()
 
 
+def _walk(rows: list, stack: list, known: dict, depth: int, most: int, asked: list | None = None) -> tuple[list, list]:
+    """(rows, stack): a preorder walk carried on to the first node whose callees are not known.
+
+    ``rows`` and ``stack`` hold (node, depth), the next node at the stack's end.
+    A stacked node is neither visited nor stacked twice, so each is visited
+    unless the walk is full; no more than it has room for, and one, are kept.
+    With ``asked`` the walk goes past such nodes, and adds them to it.
+    """
+    rows, done = list(rows), {n for n, _ in rows}
+    while stack and len(rows) < most:
+        node, d = stack[-1]
+        out = known.get(node) if d < depth else ()
+        if out is None:
+            if asked is None:
+                break
+            asked.append(node)
+        rows.append((node, d))
+        done.add(node)
+        stack = stack[:-1]
+        if out:
+            callees = dict.fromkeys(x for x in out if x not in done)
+            stack = [e for e in stack if e[0] not in callees] + [(x, d + 1) for x in reversed(callees)]
+            stack = stack[-(most - len(rows) + 1) :]
+    return rows, stack
+
+
 def flows(starts: DataFrame, names: DataFrame, edges: DataFrame, depth: int = 8, most: int = 50) -> DataFrame:
     """(flow, position, depth, node, truncated): preorder walks of the calls from entry points.
 
     Callees go by name; a node is visited once per flow; ``depth`` and ``most``
-    bound a flow.  Levels are found by joins that keep at most ``most`` of the
-    nearest nodes of a flow, which holds all that a walk of that size can see;
-    the order within a flow, which is sequential, is made per flow.
+    bound a flow.  All flows walk together: in a round each goes on until it
+    meets a node whose callees it does not have, and asks for those of all such
+    nodes that it can meet.  So a round reads the callees of ``most`` nodes a
+    flow, whatever its depth could reach; about ``depth`` rounds do, and every
+    one visits a node.
     """
     e = edges.select("src", "dst").distinct().join(names.select(F.col("id").alias("dst"), F.col("name").alias("dst_name")), "dst")
     adj = e.groupBy("src").agg(F.array_sort(F.collect_set(F.struct(F.col("dst_name").alias("n"), F.col("dst").alias("i")))).alias("out"))
-    adj = adj.select("src", F.slice("out", 1, most).alias("out"))  # a walk of ``most`` nodes enters no further callee of a node
-    s = Scratch(starts.sparkSession, "flows")  # each level is used twice; stored, it is made once
+    adj = adj.select(F.col("src").alias("node"), F.slice(F.col("out.i"), 1, most).alias("out"))  # a walk of ``most`` nodes enters no further callee of a node
+    s = Scratch(starts.sparkSession, "flows")
     adj = s.save(adj, "adjacent")
-    level = s.save(starts.select(F.col("id").alias("flow"), F.col("id").alias("node")).distinct(), "level")
-    reach = level
-    for _ in range(depth):
-        level = level.join(adj, F.col("node") == F.col("src")).select("flow", F.explode("out").alias("o")).select("flow", F.col("o.i").alias("node")).distinct()
-        level = s.save(level.join(reach, ["flow", "node"], "left_anti"), "level")
-        reach = reach.unionByName(level)
-    part = reach.join(adj, F.col("node") == F.col("src"), "left").select("flow", "node", "out")
-
-    def walk(pdf):
-        import pandas as pd
-
-        out = {r.node: [x["i"] for x in r.out] if r.out is not None else [] for r in pdf.itertuples()}
-        start = pdf["flow"].iloc[0]
-        rows, done, cut = [], set(), False
-        stack = [(start, 0)]
-        while stack:
-            node, d = stack.pop()
-            if node in done:
-                continue
-            if len(rows) >= most:
-                cut = True
-                break
-            done.add(node)
-            rows.append((start, len(rows), d, node))
-            if d < depth:
-                stack += [(x, d + 1) for x in reversed(out.get(node, [])) if x not in done]
-        return pd.DataFrame([(*r, cut) for r in rows], columns=["flow", "position", "depth", "node", "truncated"])
-
     kind = dict(starts.dtypes)["id"]
-    return part.groupBy("flow").applyInPandas(walk, f"flow {kind}, position int, depth int, node {kind}, truncated boolean")
+    pairs, lists = f"array<struct<node: {kind}, depth: int>>", f"array<struct<node: {kind}, out: array<{kind}>>>"
+    schema = f"flow {kind}, walked {pairs}, stack {pairs}, known {lists}, asked array<{kind}>, truncated boolean"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs_of = lambda c: [[(x["node"], x["depth"]) for x in xs] for xs in c.to_pylist()]
+        for b in batches:
+            made = []
+            for flow, walked, stack, known, asked, got in zip(b.column("flow").to_pylist(), pairs_of(b.column("walked")), pairs_of(b.column("stack")), *(b.column(c).to_pylist() for c in ("known", "asked", "got"))):
+                have = dict.fromkeys(asked, ()) | {x["node"]: x["out"] for x in [*known, *(got or ())]}
+                walked, stack = _walk(walked, stack, have, depth, most)
+                asked = []
+                ahead = _walk(walked, stack, have, depth, most, asked)[0][len(walked) :]
+                made.append((flow, walked, stack, [(n, have[n]) for n, _ in ahead if n in have], asked, len(stack) > 0))
+            columns = zip(*made) if made else [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    state = starts.select(F.col("id").alias("flow")).distinct().select("flow", F.array().cast(pairs).alias("walked"), F.array(F.struct(F.col("flow").alias("node"), F.lit(0).alias("depth"))).cast(pairs).alias("stack"), F.array().cast(lists).alias("known"), F.array("flow").alias("asked"))
+    ended, tasks = None, -(-max(1, state.count()) // WALKS)
+    for _ in range(most + 1):
+        asks = state.select("flow", F.explode("asked").alias("node"))
+        got = asks.join(adj, "node").repartition(tasks, "flow").groupBy("flow").agg(F.collect_list(F.struct("node", "out")).alias("got"))
+        step = s.save(state.repartition(tasks, "flow").join(got, "flow", "left").select("flow", "walked", "stack", "known", "asked", "got").mapInArrow(run, schema), "walks")
+        done = step.where(F.size("asked") == 0).select("flow", F.posexplode("walked").alias("position", "w"), "truncated")
+        done = done.select("flow", "position", F.col("w.depth").alias("depth"), F.col("w.node").alias("node"), "truncated")
+        ended = done if ended is None else ended.unionByName(done)
+        state = step.where(F.size("asked") > 0).drop("truncated")
+        if state.isEmpty():
+            break
+    return ended
 
 
 def local_moves(spark: SparkSession, edges: DataFrame, rounds: int = 8) -> DataFrame:
