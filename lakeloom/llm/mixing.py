@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from lakeloom.llm import tokens
 from lakeloom.sources.tables import Scratch
 
-#: Cells that the driver rakes; more of them are raked in Spark.
+#: Cells that the driver rakes; more of them are raked in Spark, by the same rounds to the same end.
 MOST_CELLS = 500_000
 ROUNDS, CLOSE = 200, 1e-9
-#: Rounds in Spark, each a stored table.
-TABLE_ROUNDS = 24
+#: Digits of a weight, few enough that the order of adding and a round more or less change none.
+DIGITS = 7
 #: Documents of one sampling bucket, about.
 BUCKET = 20_000
 
@@ -100,30 +100,41 @@ def rake(cells: list[tuple[int, int, int, float]], targets: np.ndarray, caps: np
     return w, change
 
 
-def rake_table(cells: DataFrame, plan: DataFrame, scratch: Scratch, rounds: int = TABLE_ROUNDS) -> DataFrame:
-    """``rake`` on a table of cells (source, lang, topic, n), for any number of them: the cells with their ``weight``.
+def rake_table(cells: DataFrame, plan: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+    """The cells of ``raked_table``."""
+    return raked_table(cells, plan, scratch, rounds)[0]
+
+
+def raked_table(cells: DataFrame, plan: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> tuple[DataFrame, float]:
+    """``rake`` on a table of cells (source, lang, topic, n), for any number of them: the cells with their ``weight``, and the last change.
 
     ``plan``: (source, cap, target).  A source's cells are one group, as its cap
-    binds them together; languages and topics are scaled by joins.
+    binds them together; languages and topics are scaled by joins.  Each round is
+    a stored table.
     """
     total = plan.agg(F.sum("target").alias("_total"))
     size = cells.agg(F.sum("n").alias("_size"))
     ratio = total.join(F.broadcast(size), how="inner").select((F.col("_total") / F.col("_size")).alias("_ratio"))  # one row
-    rows = scratch.save(cells.join(plan, "source").join(F.broadcast(ratio), how="inner").withColumn("weight", F.lit(1.0)), "cells")
+    rows = scratch.save(cells.join(plan, "source").join(F.broadcast(ratio), how="inner").withColumns({"weight": F.lit(1.0), "change": F.lit(0.0)}), "cells")
 
     def fill(pdf):
         pdf["weight"] = _fill(pdf["n"].to_numpy(float), np.maximum(pdf["weight"].to_numpy(float), 1e-12), float(pdf["cap"].iloc[0]), float(pdf["target"].iloc[0]))
+        pdf["change"] = (pdf["weight"] - pdf["change"]).abs()
         return pdf
 
+    change = 0.0
     for _ in range(rounds):
-        step = rows
+        step = rows.withColumn("change", F.col("weight"))
         for margin in ("lang", "topic"):
-            scale = step.groupBy(margin).agg((F.sum("n") * F.first("_ratio") / F.sum(F.col("n") * F.col("weight"))).alias("_scale"))
-            step = step.join(scale, margin).withColumn("weight", F.col("weight") * F.coalesce("_scale", F.lit(1.0))).drop("_scale")
+            now = F.sum(F.col("n") * F.col("weight"))
+            scale = step.groupBy(margin).agg(F.when(now > 0, F.sum("n") * F.first("_ratio") / now).otherwise(1.0).alias("_scale"))
+            step = step.join(scale, margin).withColumn("weight", F.col("weight") * F.col("_scale")).drop("_scale")
         step = scratch.save(step.select(*rows.columns).groupBy("source").applyInPandas(fill, rows.schema), "cells")
         scratch.drop(rows)
-        rows = step
-    return rows
+        rows, change = step, step.agg(F.max("change")).first()[0] or 0.0
+        if change < CLOSE:
+            break
+    return rows.drop("change"), change
 
 
 def sized(spark: SparkSession, docs: DataFrame, targets: DataFrame, folder: str = tokens.TOKENIZERS) -> DataFrame:
@@ -143,6 +154,7 @@ def weights(spark: SparkSession, rows: DataFrame, targets: DataFrame, most_cells
     """(rows with their cell's weight, plan of the listed sources, last change of the raking).
 
     plan: (source, share, cap, size, target).  Every language and topic is a margin of its own.
+    ``most_cells`` says where the cells are raked; the weights are the same.
     """
     scratch = Scratch(spark, "mixing")
     cells = scratch.save(rows.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("n")), "cells")
@@ -154,13 +166,13 @@ def weights(spark: SparkSession, rows: DataFrame, targets: DataFrame, most_cells
     target = allocate(size, share, cap, float(size.sum()))
     plan = [(n, float(share[i]), int(cap[i]), float(size[i]), float(target[i])) for i, n in enumerate(names)]
     if cells.count() > most_cells:
-        table = rake_table(cells, spark.createDataFrame([(p[0], p[2], p[4]) for p in plan], "source string, cap int, target double"), scratch)
-        return rows.join(table.select("source", "lang", "topic", "weight"), ["source", "lang", "topic"]), plan, float("nan")
+        table, change = raked_table(cells, spark.createDataFrame([(p[0], p[2], p[4]) for p in plan], "source string, cap int, target double"), scratch)
+        return rows.join(table.select("source", "lang", "topic", F.round("weight", DIGITS).alias("weight")), ["source", "lang", "topic"]), plan, change
     got = cells.orderBy("source", "lang", "topic").collect()
     at = {n: i for i, n in enumerate(names)}
     li, ti = ({v: i for i, v in enumerate(sorted({c[k] for c in got}))} for k in ("lang", "topic"))
     w, change = rake([(at[c["source"]], li[c["lang"]], ti[c["topic"]], float(c["n"])) for c in got], target, cap) if got else (np.array([]), 0.0)
-    table = spark.createDataFrame([(c["source"], c["lang"], c["topic"], float(x)) for c, x in zip(got, w)], "source string, lang string, topic string, weight double")
+    table = spark.createDataFrame([(c["source"], c["lang"], c["topic"], round(float(x), DIGITS)) for c, x in zip(got, w)], "source string, lang string, topic string, weight double")
     return rows.join(F.broadcast(table), ["source", "lang", "topic"]), plan, change  # at most MOST_CELLS rows
 
 
