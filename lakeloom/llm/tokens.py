@@ -61,8 +61,9 @@ def _pattern(letters: str, numbers: str, other: str) -> str:
     return WORDS.replace("{letters}", letters).replace("{numbers}", numbers).replace("{other}", other)
 
 
-#: The word pattern of a JVM whose Unicode version is the tokenizer's.
-PLAIN_WORDS = _pattern(r"[A-Za-z\p{L}]", r"[0-9\p{N}]", r"\p{L}\p{N}")
+#: The word pattern of a JVM whose Unicode version is the tokenizer's.  A class of one property is matched faster
+#: than a union; where it is negated, the common ranges come first.
+PLAIN_WORDS = _pattern(r"\p{L}", r"\p{N}", r"A-Za-z0-9\p{L}\p{N}")
 _PATTERNS: dict[str, tuple[str, str, str]] = {}
 
 
@@ -105,7 +106,8 @@ def words(text: Column, spark: SparkSession | None = None) -> Column:
     if not odd:
         return plain
     wide = F.octet_length(text) != F.length(text)
-    return F.when(wide & text.rlike(above) & text.rlike(odd), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(plain)
+    # The range is looked at first; the class, of hundreds of ranges, only for a character within it.
+    return F.when(wide & text.rlike(f"[{above[1:-1]}&&{odd}]"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(plain)
 
 
 @functools.lru_cache(maxsize=4)

@@ -57,3 +57,14 @@ def test_letters_newer_than_the_jvm(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: list(r["ids"]) for r in tokens.encode(spark, df).collect()}
     assert all(got[i] == gpt.encode_ordinary(t) for i, t in enumerate(texts))
+
+
+def test_one_look_finds_texts_with_unknown_letters(spark):
+    """p8_ids: ordinary texts beyond ASCII were searched twice, the second time through a class of hundreds of ranges."""
+    pattern, odd, above = tokens.word_patterns(spark)
+    one = tokens.words(F.col("text"), spark)._jc.toString()
+    assert not odd or one.count("rlike(") == 1
+    texts = ["naïve — “quoted” text, 数字 ५६ it's", "plain text's end  ", "ᲊꟋ 𐵊a ꟽb’s 𞓰3x", "aࡰb ⿼㇯ 𮯰𠀀"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = df.select("i", "text", tokens.words(F.col("text"), spark).alias("w"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("all")).collect()
+    assert len(got) == 4 and all("".join(r["w"]) == r["text"] and r["w"] == r["all"] for r in got)
